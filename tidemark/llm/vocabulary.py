@@ -10,6 +10,7 @@ tokens and is worked out once. Chunks are kept in a table of bounded size.
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
 from functools import lru_cache
@@ -17,12 +18,12 @@ from functools import lru_cache
 import numpy as np
 
 NONE = np.iinfo(np.int64).max
-#: Chunks kept per worker; when that many are kept, others are worked out anew each time.
-KEPT_CHUNKS = 400_000
-#: Longer chunks are never kept.
+#: Chunks and pre-tokens kept per worker; when that many are kept, others are worked out anew each time.
+KEPT_CHUNKS, KEPT_WORDS = 250_000, 200_000
+#: Longer ones are never kept.
 KEPT_LENGTH = 64
 #: Characters worked on together.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -95,149 +96,192 @@ class RankMerger:
             lens = lens - np.bincount(owner, minlength=len(lens))
             at = hits - np.arange(len(hits))
             flat, ranks, last = flat[stay], ranks[stay], last[stay]
-            anew = np.unique(np.r_[at, at[at > 0] - 1])
-            ranks[anew] = NONE
+            ranks[at] = NONE
+            anew = np.r_[at, at[at > 0] - 1]
             anew = anew[~last[anew]]
             ranks[anew] = self.rank(flat[anew], flat[anew + 1])
         return (np.concatenate(out) if out else flat), out_lengths
 
 
 class _Chunks:
-    """What both token classes share: splitting at white space and the table of chunks."""
+    """What both token classes share: splitting at white space, pre-tokens, and tables of both."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
-        self.special = [t["content"] for t in self.spec["added_tokens"]]
+        model, steps = self.spec["model"], self.spec["pre_tokenizer"]["pretokenizers"]
+        if model["type"] != "BPE" or [p["type"] for p in steps] != ["Split", "ByteLevel"] or model["ignore_merges"] or model["byte_fallback"]:
+            raise ValueError("a byte-level BPE vocabulary with one split pattern is needed")
+        self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         for t in self.spec["added_tokens"]:
             if t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]):
                 raise ValueError("added tokens that depend on their surroundings aren't supported")
-        spaces = [c for c in map(chr, [*range(0x3100)]) if c.isspace() or c in "​᠎﻿"]
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        spaces = [c for c in map(chr, range(0x3100)) if c.isspace() or c in "\u200b\u180e\ufeff"]
         gaps = [c for c in spaces if self.library.normalizer.normalize_str(f"a{c}a") == "a a"]
+        if any(not c.isspace() for c in gaps):
+            raise ValueError("white space of this vocabulary is wider than Python's")
         odd = [c for c in spaces if c.isspace() and c not in gaps]
         self._odd = re.compile("[" + "".join(map(re.escape, odd)) + "]") if odd else None
         self._gap = re.compile("[^" + "".join(map(re.escape, gaps)) + "]+")
-        if any(not c.isspace() for c in gaps):
-            raise ValueError("white space of this vocabulary is wider than Python's")
+        self._pattern = regex.compile(steps[0]["pattern"]["Regex"])
+        self._lines = regex.compile(steps[0]["pattern"]["Regex"] + "|\\n")
+        # up to here no letter combines with its neighbours, and lower case needs no table of a version
+        self._far = re.compile("[^\\x00-\\u024f]")
+        self.letters = byte_letters()
+        self._byte_of = {c: b for b, c in enumerate(self.letters)}
         self.kept: dict = {}
+        self.words: dict = {}
 
     def chunks(self, text: str) -> list[str]:
         return self._gap.findall(text) if self._odd and self._odd.search(text) else text.split()
 
-    def of_new(self, chunks: list[str]) -> list:
+    def pre_tokens(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk without special strings, normalised."""
+        if not self._far.search(chunk):
+            return self._pattern.findall(chunk.lower())
+        plain = self.library.normalizer.normalize_str(chunk)
+        if not self._far.search(plain):
+            return self._pattern.findall(plain)
+        return [bytes(map(self._byte_of.__getitem__, x)).decode("utf-8") for x, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+
+    def parts(self, chunk: str) -> list:
+        """Pre-tokens, and special strings as one-element tuples, in order."""
+        if self._split is None:
+            return self.pre_tokens(chunk)
+        out = []
+        for k, piece in enumerate(self._split.split(chunk)):
+            out += [(piece,)] if k % 2 else self.pre_tokens(piece)
+        return out
+
+    def of_words(self, words: list[str]) -> list:
+        """The value of each pre-token."""
         raise NotImplementedError
 
-    def groups(self, texts):
-        """(chunk lists, table that holds all their chunks) for groups of texts, in order."""
-        group, size = [], 0
-        for text in texts:
-            group.append(self.chunks(text))
-            size += len(text)
-            if size >= GROUP_CHARS:
-                yield group, self._table(group)
-                group, size = [], 0
-        if group:
-            yield group, self._table(group)
-
-    def _table(self, group):
-        new = list(set().union(*group).difference(self.kept))
-        values = dict(zip(new, self.of_new(new))) if new else {}
-        if not values:
-            return self.kept
-        if len(self.kept) + len(values) <= KEPT_CHUNKS and max(map(len, new)) <= KEPT_LENGTH:
-            self.kept.update(values)
-            return self.kept
-        table = _Both(self.kept, values)
-        room = KEPT_CHUNKS - len(self.kept)
-        keep = [c for c in new if len(c) <= KEPT_LENGTH][: max(0, room)]
-        table.later = {c: values[c] for c in keep}
-        self.kept.update(table.later)
-        return table
+    def of_special(self, name: str):
+        raise NotImplementedError
 
+    def of_new(self, chunks: list[str]) -> list:
+        """The value of each chunk; all are split at once, a line feed between them."""
+        joined = "\n".join(chunks)
+        if self._far.search(joined) or self._split and self._split.search(joined):
+            flat = []
+            for chunk in chunks:
+                flat += self.parts(chunk)
+                flat.append("\n")
+        else:
+            flat = self._lines.findall(joined.lower())
+            flat.append("\n")
+        words = self.words
+        new = set(flat).difference(words)
+        new.discard("\n")
+        plain = [x for x in new if type(x) is str]
+        fresh = dict(zip(plain, self.of_words(plain)))
+        fresh |= {x: self.of_special(x[0]) for x in new if type(x) is tuple}
+        words.update(fresh)
+        values, value = [], self.nothing
+        for x in flat:
+            if x == "\n":
+                values.append(value)
+                value = self.nothing
+            else:
+                value += words[x]
+        for x in self._too_many(fresh, len(words) - KEPT_WORDS):
+            del words[x]
+        return values
+
+    @staticmethod
+    def _too_many(fresh, excess: int) -> list:
+        """Those of ``fresh`` that aren't kept: long ones and, if there are more than fit, the last."""
+        names = list(fresh)
+        out = [x for x in names if len(x) > KEPT_LENGTH]
+        if excess > len(out):
+            out += [x for x in names if len(x) <= KEPT_LENGTH][-(excess - len(out)) :]
+        return out
 
-class _Both(dict):
-    """``values`` first, then ``kept``."""
+    def groups(self, texts):
+        """Chunk lists of groups of texts, in order; until the next group is asked for, ``kept`` has all their chunks."""
+        group, size, kept = [], 0, self.kept
+        for last, text in _marked(texts):
+            if text is not None:
+                group.append(self.chunks(text))
+                size += len(text)
+            if group and (last or size >= GROUP_CHARS):
+                new = list(set().union(*group).difference(kept))
+                if new:
+                    kept.update(zip(new, self.of_new(new)))
+                yield group
+                for x in self._too_many(new, len(kept) - KEPT_CHUNKS):
+                    del kept[x]
+                group, size = [], 0
 
-    def __init__(self, kept, values):
-        super().__init__(values)
-        self._kept = kept
 
-    def __missing__(self, key):
-        return self._kept[key]
+def _marked(texts):
+    for text in texts:
+        yield False, text
+    yield True, None
 
 
 class TokenCounter(_Chunks):
     """Counts of tokens by rank-synchronous merging, as the tokenizers library would count them."""
 
+    nothing = 0
+
     def __init__(self, path: str):
         super().__init__(path)
-        import regex
-
-        model, kinds = self.spec["model"], [p["type"] for p in self.spec["pre_tokenizer"]["pretokenizers"]]
-        if model["type"] != "BPE" or kinds != ["Split", "ByteLevel"] or model["ignore_merges"] or model["byte_fallback"]:
-            raise ValueError("a byte-level BPE vocabulary with one split pattern is needed")
+        model = self.spec["model"]
         vocab = model["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.merger = RankMerger([vocab[a] for a, _ in merges], [vocab[b] for _, b in merges], [vocab[a + b] for a, b in merges], max(vocab.values()) + 1)
-        letters, end = byte_letters(), model["end_of_word_suffix"] or ""
-        self._byte_of = {c: b for b, c in enumerate(letters)}
-        self._inner = np.array([vocab[c] for c in letters], np.int64)
-        self._end = np.array([vocab[c + end] for c in letters], np.int64)
-        self._pattern = regex.compile(self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-
-    def pre_tokens(self, chunk: str) -> list[bytes]:
-        if chunk.isascii():
-            return [x.encode() for x in self._pattern.findall(chunk.lower())]
-        plain = self.library.normalizer.normalize_str(chunk)
-        if max(plain, default="") < "ɐ":
-            return [x.encode() for x in self._pattern.findall(plain)]
-        return [bytes(map(self._byte_of.__getitem__, x)) for x, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
-
-    def of_new(self, chunks):
-        extra, owner, parts = [0] * len(chunks), [], []
-        for k, chunk in enumerate(chunks):
-            pieces = [chunk]
-            if self._split and "<" in chunk or self._split and any(s in chunk for s in self.special):
-                pieces = self._split.split(chunk)
-                extra[k] = len(pieces) // 2
-                pieces = pieces[::2]
-            for piece in pieces:
-                for x in self.pre_tokens(piece):
-                    if x:
-                        parts.append(x)
-                        owner.append(k)
-        counts = np.array(extra, np.int64)
-        if parts:
-            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-            symbols = np.frombuffer(b"".join(parts), np.uint8)
-            ids = self._inner[symbols]
-            ends = np.cumsum(lengths) - 1
-            ids[ends] = self._end[symbols[ends]]
-            _, left = self.merger.merge(ids, lengths)
-            np.add.at(counts, np.array(owner), left)
-        return counts.tolist()
+        end = model["end_of_word_suffix"] or ""
+        self._inner = np.array([vocab[c] for c in self.letters], np.int64)
+        self._end = np.array([vocab[c + end] for c in self.letters], np.int64)
+
+    def of_words(self, words):
+        if not words:
+            return []
+        raw = [x.encode("utf-8") for x in words]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        symbols = np.frombuffer(b"".join(raw), np.uint8)
+        ids = self._inner[symbols]
+        ends = np.cumsum(lengths) - 1
+        ids[ends] = self._end[symbols[ends]]
+        return self.merger.merge(ids, lengths)[1].tolist()
+
+    def of_special(self, name):
+        return 1
 
     def counts(self, texts):
         """The number of tokens of each text."""
-        for group, table in self.groups(texts):
+        value = self.kept.__getitem__
+        for group in self.groups(texts):
             for chunks in group:
-                yield sum(map(table.__getitem__, chunks))
+                yield sum(map(value, chunks))
 
 
 class TokenIds(_Chunks):
     """Ids as the tokenizers library gives them without begin and end, as bytes of little-endian 32-bit numbers."""
 
-    def of_new(self, chunks):
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch(chunks, add_special_tokens=False)]
+    nothing = b""
+
+    def of_words(self, words):
+        tokenize, letters = self.library.model.tokenize, self.letters
+        names = (x if x.isascii() and x.isprintable() else "".join(map(letters.__getitem__, x.encode("utf-8"))) for x in words)
+        return [array("I", [t.id for t in tokenize(x)]).tobytes() for x in names]
+
+    def of_special(self, name):
+        return array("I", [self.special[name]]).tobytes()
 
     def encoded(self, texts):
-        for group, table in self.groups(texts):
+        value = self.kept.__getitem__
+        for group in self.groups(texts):
             for chunks in group:
-                yield b"".join(map(table.__getitem__, chunks))
+                yield b"".join(map(value, chunks))
 
 
 @lru_cache(maxsize=4)
