@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .fingerprints import fingerprint_documents, within_radius
+from .line_field import fit_quality, held_out, score_quality
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .piece_coding import DIGESTS, encode_documents
 from .secrets import scan_secrets
@@ -15,11 +17,21 @@ from .token_counts import count_tokens
 from .top_k import top_scores
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return top_scores(rows, rows.where("vec_id % 50 = 0"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), DIGESTS)
 
@@ -45,7 +57,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents")).drop("fingerprint_bits")
 
 
-QUERIES = {f.__name__: f for f in (op2_top_k, op4_piece_coding, op5_sharding, op6_secret_scan, op7_token_counts, op8_packing, op9_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_top_k, op3_near_dedup, op4_piece_coding, op5_sharding, op6_secret_scan, op7_token_counts, op8_packing, op9_fingerprints)}
 
 ORACLE_SQL = {
     "op2_top_k": """
