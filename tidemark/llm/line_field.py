@@ -233,3 +233,16 @@ def score_quality(docs: DataFrame, field: LineField, id_col: str = "doc_id", tex
 
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, score double")
+
+
+def keep_good(docs: DataFrame, field: LineField, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, with all their columns."""
+    workers_can_import(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            scores = field.scores([t.as_py() or "" for t in batch.column(at)])
+            yield batch.filter(pa.array(scores >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

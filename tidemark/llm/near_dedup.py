@@ -8,7 +8,8 @@ pivots are in one component, since then every pair across components has been co
 base are joined in a round or two, and no link between components is lost.
 
 Defined results: null and empty texts and texts without words are linked only to equal ones; rows
-with one id are one document; a null id has a null class unless its text has another id; repeated
+with one id are one document; a class without any id has a null class_id, and a row without an id has
+the class of its text; ids are below 2**62; repeated
 rows give repeated results; an empty table gives no rows; other columns are ignored.
 """
 
@@ -19,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import weighted_minhash as wm
@@ -27,6 +28,8 @@ from .common import digest128, text_or_empty, workers_can_import, written
 from .links import components
 
 SLICES = 16
+#: Nodes of texts that have no id are hashes from here on, above all ids.
+NAMELESS = 1 << 62
 #: Members of a bucket whose pairs are compared at once; pivots of a larger one in the first round.
 SMALL_BUCKET, FIRST_PIVOTS = 8, 1
 
@@ -98,7 +101,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(has) if has else np.zeros(0, bool)), lists], names=["id", "digest", "has", "bands"])
 
     signed = written(plain.select("id", digest128(F.col("text")).alias("digest"), "text").mapInArrow(sign, "id long, digest binary, has boolean, bands array<long>"), "signed")
-    nodes = signed.groupBy("digest").agg(F.min("id").alias("id")).select("digest", F.coalesce("id", F.xxhash64("digest")).alias("node"))
+    nodes = signed.groupBy("digest").agg(F.min("id").alias("id")).select("digest", F.coalesce("id", nameless(F.col("digest"))).alias("node"))
     members = written(signed.select("id", "digest").join(nodes, "digest"), "members")
     bands = written(signed.where("has").dropDuplicates(["digest"]).join(nodes, "digest").select("node", "bands"), "bands").select("node", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -121,12 +124,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
             break
         open_ = state.select("bucket", "node")
         pivots *= 4
-    return members.join(roots, "node", "left").select(F.col("id").alias(id_col), F.coalesce("root", "node").alias("class_id"))
+    classes = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return classes.select(F.col("id").alias(id_col), F.when(F.col("root") < NAMELESS, F.col("root")).alias("class_id"))
+
+
+def nameless(digest: Column) -> Column:
+    return F.xxhash64(digest).bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each class, the one with the smallest id, once. Rows of classes without ids stay. Other columns stay."""
+    classes = near_duplicates(docs, threshold, id_col, text_col)
+    kept = written(classes.where(F.col(id_col) == F.col("class_id")).select(id_col).distinct(), "kept")
+    one = Window.partitionBy(id_col).orderBy(text_col)
+    first = docs.join(kept, id_col, "left_semi").withColumn("_tm_place", F.row_number().over(one)).where("_tm_place = 1").drop("_tm_place")
+    alone = docs.where(F.col(id_col).isNull())
+    named = classes.where("class_id is not null").select("class_id")
+    if alone.isEmpty():
+        return first.select(*docs.columns)
+    # texts of rows without an id that belong to a class with one go
+    texts = docs.join(named.distinct().withColumnRenamed("class_id", id_col), id_col, "left_semi").select(digest128(text_or_empty(text_col)).alias("_tm_digest")).distinct()
+    free = alone.withColumn("_tm_digest", digest128(text_or_empty(text_col))).join(texts, "_tm_digest", "left_anti")
+    return first.select(*docs.columns).unionByName(free.select(*docs.columns))
 
 
 def _texts(plain: DataFrame, rows: DataFrame) -> DataFrame:
     """The text of each node: that of the row whose id the node has and whose digest is the node's."""
-    held = plain.withColumn("node", F.coalesce(F.col("id"), F.xxhash64(digest128(F.col("text")))))
+    held = plain.withColumn("node", F.coalesce(F.col("id"), nameless(digest128(F.col("text")))))
     joined = held.join(rows, "node").where(digest128(F.col("text")) == F.col("digest")).select("node", "text")
     one = Window.partitionBy("node").orderBy(F.length("text"))
     return joined.withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")

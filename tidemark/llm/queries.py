@@ -13,6 +13,7 @@ from .packing import pack_documents
 from .piece_coding import DIGESTS, encode_documents
 from .secrets import scan_secrets
 from .sharding import shard_documents
+from .suffix_dedup import count_repeats
 from .token_counts import count_tokens
 from .top_k import top_scores
 
@@ -57,7 +58,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents")).drop("fingerprint_bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_top_k, op3_near_dedup, op4_piece_coding, op5_sharding, op6_secret_scan, op7_token_counts, op8_packing, op9_fingerprints)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_top_k, op3_near_dedup, op4_piece_coding, op5_sharding, op6_secret_scan, op7_token_counts, op8_packing, op9_fingerprints, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op2_top_k": """
