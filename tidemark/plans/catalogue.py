@@ -1,4 +1,452 @@
-"""All queries and their SQL."""
+"""All queries over the driver's tables and their SQL."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import aggregates as agg
+from ..functions.buckets import BUCKETS_8, BUCKETS_16, BUCKETS_64, in_mask
+from ..functions.times import bucket, epoch_seconds
+from ..operators import blobs, custom, grouping, ingest, pages, relational, retention, scan, spline
+from ..sources import page_file
+from ..streaming import ingest as streaming
+
+DAY, WIDE = 86400, 706000
+PER_PAGE = 42
+#: Ring sizes of the retention queries: data pages, erase block; blob page size, blob header, blob pages.
+RING, BLOCK = 60, 4
+BLOB_PAGE, BLOB_HEADER, BLOB_RING = 512, 12, 60
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql.replace("{events}", EVENTS_SQL).replace("{paged}", PAGED_SQL)
+        return f
+
+    return add
+
+
+EVENTS_SQL = "(SELECT event_id, epoch_us(ts) // 1000000 AS k, user_id, event_type, value, CAST(floor(value) AS INTEGER) AS v, props FROM events)"
+PAGED_SQL = f"(SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // {PER_PAGE} AS page_id FROM {EVENTS_SQL})"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time series: event_id, k (epoch seconds), user_id, event_type, value, v (whole value), props."""
+    return table(spark, sf_dir, "events").select("event_id", epoch_seconds("ts").alias("k"), "user_id", "event_type", "value", F.floor("value").cast("int").alias("v"), "props")
+
+
+def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.with_pages(events(spark, sf_dir), "event_id", PER_PAGE)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; a local one only in local mode."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
+    return f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+
+
+# scans and lookups
+
+
+@query("SELECT event_id, k, v FROM {events}")
+def scan_all(spark, sf_dir):
+    return scan.table_scan(events(spark, sf_dir), ["event_id", "k", "v"])
+
+
+@query("SELECT event_id, value FROM {events} WHERE event_id BETWEEN 100 AND 799")
+def range_key(spark, sf_dir):
+    return scan.range_scan(events(spark, sf_dir), "event_id", 100, 799).select("event_id", "value")
+
+
+@query("SELECT event_id, value FROM {events} WHERE value BETWEEN 20 AND 60.5")
+def range_value(spark, sf_dir):
+    return scan.range_scan(events(spark, sf_dir), "event_id", data="value", min_data=20, max_data=60.5).select("event_id", "value")
+
+
+@query("SELECT event_id, value FROM {events} WHERE event_id >= 250 AND value BETWEEN 23 AND 38")
+def range_key_value(spark, sf_dir):
+    return scan.range_scan(events(spark, sf_dir), "event_id", 250, None, "value", 23, 38).select("event_id", "value")
+
+
+@query("SELECT event_id, k, value FROM {events} WHERE event_id = 321")
+def get_point(spark, sf_dir):
+    return scan.get(events(spark, sf_dir), "event_id", 321).select("event_id", "k", "value")
+
+
+@query("""SELECT c.key, e.value, CAST(CASE WHEN e.event_id IS NULL THEN -1 ELSE 0 END AS INTEGER) AS status
+          FROM (SELECT c_custkey * 9 AS key FROM customer) c LEFT JOIN {events} e ON e.event_id = c.key""")
+def get_many_status(spark, sf_dir):
+    keys = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 9).alias("key"))
+    return scan.get_many(events(spark, sf_dir).select("event_id", "value"), "event_id", keys, "key")
+
+
+@query("SELECT event_id, value FROM {events} WHERE value > 50 AND event_id < 900")
+def pending_rows_seen(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", "value")
+    seen = scan.with_pending(rows.where("event_id < 600"), rows.where("event_id >= 600 and event_id < 900"))
+    return relational.select(seen, "value", relational.GT, 50)
+
+
+# projection and selection
+
+
+@query("SELECT event_id, user_id, value FROM {events}")
+def project_cols(spark, sf_dir):
+    return relational.project(events(spark, sf_dir), [0, 2, 4])
+
+
+@query("SELECT value, event_id, value AS value_1 FROM {events}")
+def project_again(spark, sf_dir):
+    return relational.project(events(spark, sf_dir), ["value", 0, "value"])
+
+
+def _selection(name: str, number: int, sign: str):
+    def run(spark, sf_dir):
+        return relational.select(events(spark, sf_dir).select("event_id", "user_id", "v"), 2, number, 40)
+
+    run.__name__ = f"select_{name}"
+    query(f"SELECT event_id, user_id, v FROM {{events}} WHERE v {sign} 40")(run)
+
+
+for _name, _number, _sign in (("gt", relational.GT, ">"), ("lt", relational.LT, "<"), ("gte", relational.GTE, ">="), ("lte", relational.LTE, "<="), ("eq", relational.EQ, "="), ("neq", relational.NEQ, "<>")):
+    _selection(_name, _number, _sign)
+
+
+@query("SELECT event_id, user_id, v FROM {events} WHERE v <= 40 AND user_id >= 100")
+def select_and(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", "user_id", "v")
+    return relational.select(relational.select(rows, "v", relational.LTE, 40), "user_id", relational.GTE, 100)
+
+
+# the benchmark queries
+
+
+@query("SELECT CAST(k // 86400 AS BIGINT) AS day, min(value) AS min_value, max(value) AS max_value, round(avg(value), 6) AS avg_value FROM {events} GROUP BY 1")
+def b1_daily_min_max_avg(spark, sf_dir):
+    return grouping.group_by(events(spark, sf_dir), {"day": bucket("k", DAY)}, {"min_value": agg.least("value"), "max_value": agg.most("value"), "avg_value": F.round(agg.mean("value"), 6)}, show_keys=True)
+
+
+@query("SELECT CAST(k // 86400 AS BIGINT) AS day, round(avg(value), 6) AS avg_value, max(value) AS max_value FROM {events} GROUP BY 1 HAVING max(value) > 250")
+def b2_daily_having(spark, sf_dir):
+    days = grouping.group_by(events(spark, sf_dir), {"day": bucket("k", DAY)}, {"avg_value": F.round(agg.mean("value"), 6), "max_value": agg.most("value")}, show_keys=True)
+    return relational.select(days, "max_value", relational.GT, 250)
+
+
+@query("SELECT count(*) AS n FROM {events} WHERE v > 30 HAVING count(*) > 0")
+def b3_count_filtered(spark, sf_dir):
+    return grouping.aggregate_all(relational.select(events(spark, sf_dir), "v", relational.GT, 30), {"n": agg.count()})
+
+
+@query("""SELECT a.event_id, a.v AS v, b.v AS v_r FROM (SELECT event_id + 500 AS event_id, v FROM {events}) a
+          JOIN (SELECT event_id, v FROM {events} WHERE event_id >= 500 AND event_id < 4500) b ON a.event_id = b.event_id""")
+def b4_join_shifted(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", "v")
+    later = scan.range_scan(rows, "event_id", 500, 4499)
+    return relational.project(relational.key_join(relational.shift_key(rows, "event_id", 500), later, "event_id", "event_id"), ["event_id", "v", "v_r"])
+
+
+@query("SELECT CAST(k // 706000 AS BIGINT) AS bucket, count(*) AS n FROM {events} WHERE v > 45 GROUP BY 1")
+def b5_bucket_count(spark, sf_dir):
+    return grouping.group_by(relational.select(events(spark, sf_dir), "v", relational.GT, 45), {"bucket": bucket("k", WIDE)}, {"n": agg.count()}, show_keys=True)
+
+
+# joins
+
+
+@query("SELECT e.event_id, e.v, o.o_orderkey, o.o_totalprice FROM {events} e JOIN orders o ON e.event_id = o.o_orderkey")
+def join_key(spark, sf_dir):
+    return relational.key_join(events(spark, sf_dir).select("event_id", "v"), table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "event_id", "o_orderkey")
+
+
+@query("""SELECT e.user_id, e.event_id, l.l_orderkey, l.l_linenumber
+          FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) e
+          JOIN (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem) l
+          ON e.user_id = l.l_orderkey AND e.n = l.n""")
+def join_zip(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("place"))
+    return relational.key_join(events(spark, sf_dir).select("user_id", "event_id"), lines, "user_id", "l_orderkey", duplicates="zip", left_order="event_id", right_order="place").drop("place")
+
+
+@query("""SELECT a.h, a.n, b.h AS h_r, b.total FROM (SELECT k - k % 3600 AS h, count(*) AS n FROM {events} GROUP BY 1) a
+          JOIN (SELECT (k + 7200) - (k + 7200) % 3600 AS h, CAST(sum(v) AS BIGINT) AS total FROM {events} GROUP BY 1) b ON a.h = b.h""")
+def join_rounded(spark, sf_dir):
+    rows = events(spark, sf_dir).select("k", "v")
+    left = grouping.group_by(relational.round_key(rows, "k", 3600), {"h": F.col("k")}, {"n": agg.count()}, show_keys=True)
+    right = grouping.group_by(relational.round_key(relational.shift_key(rows, "k", 7200), "k", 3600), {"h": F.col("k")}, {"total": agg.total("v")}, show_keys=True)
+    return relational.key_join(left, right, "h", "h")
+
+
+# aggregation
+
+
+@query("""WITH m AS (SELECT *, CASE WHEN lag(event_type) OVER (ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS new FROM {events}),
+               r AS (SELECT *, sum(new) OVER (ORDER BY event_id) AS run FROM m)
+          SELECT count(*) AS n, CAST(sum(v) AS BIGINT) AS total, max(event_id) AS last_id, arg_max(event_type, event_id) AS kind FROM r GROUP BY run""")
+def agg_runs(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return grouping.group_runs(rows, "event_id", lambda before: before("event_type") == F.col("event_type"), ["event_type"], {"n": agg.count(), "total": agg.total("v"), "last_id": agg.most("event_id"), "kind": agg.last("event_type", "event_id")})
+
+
+@query("""WITH m AS (SELECT *, CASE WHEN k - lag(k) OVER (ORDER BY event_id) <= 120 THEN 0 ELSE 1 END AS new FROM {events}),
+               r AS (SELECT *, sum(new) OVER (ORDER BY event_id) AS run FROM m)
+          SELECT min(k) AS first_k, max(k) AS last_k, count(*) AS n FROM r GROUP BY run""")
+def agg_sessions(spark, sf_dir):
+    return grouping.group_runs(events(spark, sf_dir), "event_id", lambda before: F.col("k") - before("k") <= 120, ["k"], {"first_k": agg.least("k"), "last_k": agg.most("k"), "n": agg.count()})
+
+
+@query("SELECT count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS low, max(v) AS high FROM {events}")
+def agg_global(spark, sf_dir):
+    return grouping.aggregate_all(events(spark, sf_dir), {"n": agg.count(), "total": agg.total("v"), "low": agg.least("v"), "high": agg.most("v")})
+
+
+@query("SELECT count(*) AS n FROM {events} WHERE v < 0 HAVING count(*) > 0")
+def agg_global_empty(spark, sf_dir):
+    return grouping.aggregate_all(events(spark, sf_dir).where("v < 0"), {"n": agg.count()})
+
+
+@query("""SELECT count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS low, max(v) AS high, round(avg(v), 6) AS mean, arg_max(event_id, event_id) AS last_id
+          FROM {events} GROUP BY k // 86400""")
+def agg_all_functions(spark, sf_dir):
+    functions = {"n": agg.count(), "total": agg.total("v"), "low": agg.least("v"), "high": agg.most("v"), "mean": F.round(agg.mean("v"), 6), "last_id": agg.last("event_id", "event_id")}
+    return grouping.group_by(events(spark, sf_dir), {"day": bucket("k", DAY)}, functions)
+
+
+@query("SELECT CAST(k // 86400 AS BIGINT) AS day, CAST(CAST(sum(v) AS FLOAT) / CAST(count(v) AS FLOAT) AS FLOAT) AS mean FROM {events} GROUP BY 1")
+def avg_float32(spark, sf_dir):
+    return grouping.group_by(events(spark, sf_dir), {"day": bucket("k", DAY)}, {"mean": agg.mean("v", 4)}, show_keys=True)
+
+
+@query("SELECT CAST(k // 86400 AS BIGINT) AS day, arg_max(value, event_id) AS last_value, arg_max(event_type, event_id) AS last_type FROM {events} GROUP BY 1")
+def agg_last_value(spark, sf_dir):
+    return grouping.group_by(events(spark, sf_dir), {"day": bucket("k", DAY)}, {"last_value": agg.last("value", "event_id"), "last_type": agg.last("event_type", "event_id")}, show_keys=True)
+
+
+@query("""SELECT user_id, CAST((sum(CAST(event_id AS HUGEINT) * 4611686018427387904) + 9223372036854775808) % 18446744073709551616 - 9223372036854775808 AS BIGINT) AS total
+          FROM {events} WHERE event_id < 300 GROUP BY 1""")
+def sum_wrapped(spark, sf_dir):
+    rows = events(spark, sf_dir).where("event_id < 300").withColumn("large", F.col("event_id").cast("decimal(10,0)") * F.lit("4611686018427387904").cast("decimal(19,0)"))
+    return grouping.group_by(rows, {"user_id": F.col("user_id")}, {"total": agg.total("large", wrap=True)}, show_keys=True)
+
+
+@query("SELECT user_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM {events} GROUP BY 1 HAVING count(*) >= 65 AND sum(v) <> 3000")
+def having_selection(spark, sf_dir):
+    users = grouping.group_by(events(spark, sf_dir), {"user_id": F.col("user_id")}, {"n": agg.count(), "total": agg.total("v")}, show_keys=True)
+    return relational.select(relational.select(users, "n", relational.GTE, 65), "total", relational.NEQ, 3000)
+
+
+# buckets, pages and pruning
+
+CASE_8 = "CASE WHEN v < 10 THEN 0 WHEN v < 20 THEN 1 WHEN v < 30 THEN 2 WHEN v < 40 THEN 3 WHEN v < 50 THEN 4 WHEN v < 60 THEN 5 WHEN v < 100 THEN 6 ELSE 7 END"
+
+
+@query(f"SELECT CAST({CASE_8} AS INTEGER) AS bucket, count(*) AS n FROM {{events}} GROUP BY 1")
+def bitmap8_hist(spark, sf_dir):
+    return events(spark, sf_dir).groupBy(BUCKETS_8.column(F.col("v")).alias("bucket")).agg(agg.count().alias("n"))
+
+
+@query("SELECT CAST(least(greatest(ceil((v * 10 - 320) / 30.0), 0), 15) AS INTEGER) AS bucket, count(*) AS n FROM {events} GROUP BY 1")
+def bitmap16_hist(spark, sf_dir):
+    return events(spark, sf_dir).groupBy(BUCKETS_16.column(F.col("v") * 10).alias("bucket")).agg(agg.count().alias("n"))
+
+
+@query("SELECT CAST(least(greatest(ceil((v * 10 - 320) / 10.0), 0), 63) AS INTEGER) AS bucket, count(*) AS n FROM {events} GROUP BY 1")
+def bitmap64_hist(spark, sf_dir):
+    return events(spark, sf_dir).groupBy(BUCKETS_64.column(F.col("v") * 10).alias("bucket")).agg(agg.count().alias("n"))
+
+
+@query(f"SELECT event_id, v FROM {{events}} WHERE {CASE_8} BETWEEN 2 AND 4")
+def bitmap_range_members(spark, sf_dir):
+    return events(spark, sf_dir).where(in_mask(F.col("v"), BUCKETS_8, BUCKETS_8.mask(25, 45))).select("event_id", "v")
+
+
+@query(f"""SELECT page_id, count(*) AS n_rows, min(event_id) AS min_key, max(event_id) AS max_key, min(v) AS min_data, max(v) AS max_data,
+                  CAST(bit_or(CAST(1 AS BIGINT) << ({CASE_8})) AS BIGINT) AS bitmap FROM {{paged}} GROUP BY 1""")
+def page_summary(spark, sf_dir):
+    return pages.page_summary(paged(spark, sf_dir), "event_id", "v", BUCKETS_8)
+
+
+@query("SELECT event_id, v FROM {events} WHERE event_id BETWEEN 150 AND 900 AND v BETWEEN 200 AND 300")
+def pruned_range(spark, sf_dir):
+    rows = paged(spark, sf_dir)
+    return pages.pruned_scan(rows, pages.page_summary(rows, "event_id", "v", BUCKETS_8), "event_id", "v", 150, 900, 200, 300, BUCKETS_8).select("event_id", "v")
+
+
+# ingest and retention
+
+
+@query("""SELECT event_id, user_id FROM (SELECT event_id, user_id, max(user_id) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM events)
+          WHERE high IS NULL OR user_id > high""")
+def ingest_monotone(spark, sf_dir):
+    return ingest.accepted(events(spark, sf_dir).select("event_id", "user_id"), "user_id", "event_id")
+
+
+@query("""SELECT event_id, user_id, CAST(CASE WHEN high IS NULL OR user_id > high THEN 0 ELSE 1 END AS INTEGER) AS put_status
+          FROM (SELECT event_id, user_id, max(user_id) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM events)""")
+def ingest_status(spark, sf_dir):
+    return ingest.judged(events(spark, sf_dir).select("event_id", "user_id"), "user_id", "event_id")
+
+
+@query("SELECT event_id, v FROM {events} WHERE event_id < 777")
+def ingest_table(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", "v")
+    stored = ingest.Table(spark, scratch(spark, "table"), "event_id", "event_id", rows.schema)
+    stored.put(rows.where("event_id < 500"))
+    stored.flush()
+    stored.put(rows.where("event_id between 300 and 776"))  # the first two hundred come too late
+    return stored.rows()
+
+
+P_SQL = f"((SELECT count(*) FROM events) - 1) // {PER_PAGE}"
+LIVE_SQL = f"(SELECT CASE WHEN p <= {RING} THEN 0 ELSE (p - {RING} + {BLOCK} - 1) // {BLOCK} * {BLOCK} END FROM (SELECT {P_SQL} AS p))"
+REOPENED_SQL = f"(SELECT CASE WHEN p <= {RING} THEN 0 WHEN p % {RING} = 0 THEN p - {RING} ELSE p - {RING} + {BLOCK} - p % {BLOCK} END FROM (SELECT {P_SQL} AS p))"
+LOGGED_SQL = f"(SELECT CASE WHEN p // {BLOCK} * {BLOCK} >= {RING - 2 * BLOCK} THEN p // {BLOCK} * {BLOCK} - {RING - 2 * BLOCK} + {BLOCK} ELSE 0 END FROM (SELECT {P_SQL} AS p))"
+
+
+def _retained(spark, sf_dir, first):
+    rows = paged(spark, sf_dir)
+    written = retention.pages_written(rows.count(), PER_PAGE)
+    return retention.retained(rows, first(written, RING, BLOCK)).select("page_id", "event_id", "v")
+
+
+@query(f"SELECT page_id, event_id, v FROM {{paged}} WHERE page_id >= {LIVE_SQL}")
+def retention_live(spark, sf_dir):
+    return _retained(spark, sf_dir, retention.first_live_page)
+
+
+@query(f"SELECT page_id, event_id, v FROM {{paged}} WHERE page_id >= {REOPENED_SQL}")
+def retention_reopened(spark, sf_dir):
+    return _retained(spark, sf_dir, retention.first_reopened_page)
+
+
+@query(f"SELECT page_id, event_id, v FROM {{paged}} WHERE page_id >= {LOGGED_SQL}")
+def retention_rlc(spark, sf_dir):
+    return _retained(spark, sf_dir, retention.first_logged_page)
+
+
+@query("""SELECT event_id, CAST(n AS INTEGER) AS chunk_no, CAST(substr(props, n * 4 + 1, 4) AS BLOB) AS chunk FROM {events}, range(0, 16) t(n) WHERE n * 4 < strlen(props)""")
+def blob_chunks(spark, sf_dir):
+    return scan.blob_chunks(events(spark, sf_dir), "event_id", "props", 4)
+
+
+def _blob_rows(spark, sf_dir):
+    rows = paged(spark, sf_dir).withColumn("blob", F.when(F.col("event_id") % 3 != 0, F.col("props").cast("binary")))
+    return rows.withColumn("n", F.length("blob"))
+
+
+@query()
+def blob_pages(spark, sf_dir):
+    """Where each value lies; a fold over lengths, tested against a model of single writes."""
+    return blobs.blob_pages(_blob_rows(spark, sf_dir), "event_id", "n", BLOB_PAGE, BLOB_HEADER)
+
+
+@query()
+def blob_status(spark, sf_dir):
+    """Values that a ring of blob pages has lost after reopening."""
+    rows = _blob_rows(spark, sf_dir)
+    placed = blobs.blob_pages(rows, "event_id", "n", BLOB_PAGE, BLOB_HEADER).persist()
+    first = blobs.first_kept_key(placed, "event_id", blobs.blob_pages_written(placed), BLOB_RING, BLOCK, reopened=True)
+    placed.unpersist()
+    return blobs.with_blob_status(rows, "event_id", "blob", first).select("event_id", "blob_status", F.col("blob").isNotNull().alias("has_blob"))
+
+
+# the learned index
+
+
+@query()
+def spline_points(spark, sf_dir):
+    """Points of the index; a greedy fold, tested against fixed points."""
+    summary = pages.page_summary(paged(spark, sf_dir), "event_id", "v")
+    return spline.spline_points(spline.build(summary), spark)
+
+
+@query("SELECT event_id AS key, page_id FROM {paged} WHERE event_id % 7 = 0")
+def spline_lookup(spark, sf_dir):
+    rows = paged(spark, sf_dir)
+    summary = pages.page_summary(rows, "event_id", "v")
+    keys = rows.where("event_id % 7 = 0").select(F.col("event_id").alias("key"))
+    return spline.page_of(keys, "key", summary, spline.build(summary)).select("key", "page_id")
+
+
+# operators and aggregates that users bring
+
+
+@query("SELECT event_id + 1000 AS event_id, v FROM {events}")
+def custom_operator_shift(spark, sf_dir):
+    return custom.apply_operator(events(spark, sf_dir).select("event_id", "v"), relational.shift_key, "event_id", 1000)
+
+
+@query("SELECT event_id, CAST(v * 2 AS BIGINT) AS doubled FROM {events} WHERE v > 20")
+def custom_operator_rows(spark, sf_dir):
+    def step(batches):
+        for b in batches:
+            some = b[b["v"] > 20]
+            yield pd.DataFrame({"event_id": some["event_id"], "doubled": some["v"].astype(np.int64) * 2})
+
+    return custom.apply_rows(events(spark, sf_dir).select("event_id", "v"), step, "event_id long, doubled long")
+
+
+@query("SELECT user_id, max(v) - min(v) AS spread FROM (SELECT user_id, CAST(v AS BIGINT) AS v FROM {events}) GROUP BY 1")
+def custom_aggregate(spark, sf_dir):
+    spread = custom.aggregate_with(lambda: None, lambda s, v: (v, v) if s is None else (min(s[0], v), max(s[1], v)), lambda s: int(s[1] - s[0]), "long", F.col("v").cast("long"))
+    return events(spark, sf_dir).groupBy("user_id").agg(spread.alias("spread"))
+
+
+@query("""WITH m AS (SELECT *, CASE WHEN user_id > lag(user_id) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM {events}),
+               r AS (SELECT *, sum(new) OVER (ORDER BY event_id) AS run FROM m)
+          SELECT min(event_id) AS first_id, count(*) AS n FROM r GROUP BY run""")
+def custom_predicate_runs(spark, sf_dir):
+    return custom.runs_with(events(spark, sf_dir), "event_id", lambda before: F.col("user_id") > before("user_id"), ["user_id"], {"first_id": agg.least("event_id"), "n": agg.count()})
+
+
+# page files and streams
+
+
+@query("SELECT event_id AS key, v AS a, CAST(user_id AS INTEGER) AS b, CAST(-v AS INTEGER) AS c FROM {events}")
+def page_file_roundtrip(spark, sf_dir):
+    rows = events(spark, sf_dir).select(F.col("event_id").alias("key"), F.col("v").alias("a"), F.col("user_id").cast("int").alias("b"), (-F.col("v")).alias("c"))
+    path = scratch(spark, "pages")
+    page_file.write_pages(rows, path)
+    return page_file.read_packed(spark, path)
+
+
+@query(ORACLE_SQL["ingest_monotone"])
+def stream_monotone(spark, sf_dir):
+    source, out = scratch(spark, "source"), scratch(spark, "stream")
+    rows = events(spark, sf_dir).select("event_id", "user_id")
+    rows.coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    streaming.guarded_append(stream, out, "user_id", "event_id", scratch(spark, "mark")).awaitTermination()
+    return spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(out).select("event_id", "user_id")
+
+
+@query("SELECT CAST(time_bucket(INTERVAL 6 HOUR, CAST(ts AS TIMESTAMP)) AS TIMESTAMP) AS window_start, count(*) AS n, max(value) AS high FROM events GROUP BY 1")
+def windows_tumbling(spark, sf_dir):
+    return streaming.tumbling(table(spark, sf_dir, "events"), "ts", "6 hours", {"n": agg.count(), "high": agg.most("value")})
+
+
+@query("""WITH m AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 7200000000 THEN 0 ELSE 1 END AS new FROM events),
+               r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM m)
+          SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, count(*) AS n FROM r GROUP BY user_id, run""")
+def windows_session(spark, sf_dir):
+    return streaming.session_windows(table(spark, sf_dir, "events"), "ts", "2 hours", {"n": agg.count()}, ("user_id",))
