@@ -2,10 +2,13 @@
 
 Equal texts are one node. Nodes that share a band key are in one bucket; two of them are linked if
 their weighted Jaccard similarity reaches the threshold, and classes are the components of links.
-Large buckets aren't paired out. In each round a few members of a bucket are pivots and are compared
-with all members of other components; a bucket is done when those of its members that were never
-pivots are in one component, since then every pair across components has been compared. Copies of one
-base are joined in a round or two, and no link between components is lost.
+Buckets aren't paired out. In each round some members are pivots and are compared with all members of
+other components that share a bucket with them and haven't been pivots. A bucket is done when those of
+its members that were never pivots are in one component, since then every pair across components has
+been compared: the first round's pivot draws in most copies of one base, the next ones the rest, and no
+link between components is lost. A pair meets in its first common bucket only, and only if it can
+still reach the threshold: by the sums of weights (an exact bound) and by two bits of each sample
+(the bound lies SIGMAS standard deviations below the threshold; banding itself misses more).
 
 Defined results: null and empty texts and texts without words are linked only to equal ones; rows
 with one id are one document; a class without any id has a null class_id, and a row without an id has
@@ -30,8 +33,10 @@ from .links import components
 SLICES = 16
 #: Nodes of texts that have no id are hashes from here on, above all ids.
 NAMELESS = 1 << 62
-#: Members of a bucket whose pairs are compared at once; pivots of a larger one in the first round.
-SMALL_BUCKET, FIRST_PIVOTS = 8, 1
+#: Pivots of a bucket in the first round, and how many times more in each further one.
+FIRST_PIVOTS, MORE_PIVOTS = 1, 16
+SIGMAS = 5
+OUTLINES = [f"o{k}" for k in range(wm.OUTLINE)]
 
 
 def sketch(texts: DataFrame) -> np.ndarray:
@@ -91,39 +96,36 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
     def sign(batches):
         for batch in batches:
-            raw = batch.column(2).to_pylist()
-            keys, has = [], []
-            for k, h in wm.signatures(raw, sent.value):
-                keys.append(k)
-                has.append(h)
-            flat = np.concatenate(keys) if keys else np.zeros((0, wm.BANDS), np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(flat.reshape(-1)), wm.BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(has) if has else np.zeros(0, bool)), lists], names=["id", "digest", "has", "bands"])
-
-    signed = written(plain.select("id", digest128(F.col("text")).alias("digest"), "text").mapInArrow(sign, "id long, digest binary, has boolean, bands array<long>"), "signed")
+            keys, outline, size, total = zip(*wm.signatures(batch.column(2).to_pylist(), sent.value))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(keys).reshape(-1)), wm.BANDS).cast(pa.list_(pa.int64()))
+            columns = [batch.column(0), batch.column(1), pa.array(np.concatenate(size)), pa.array(np.concatenate(total)), lists, *(pa.array(x) for x in np.concatenate(outline).T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "size", "total", "bands", *OUTLINES])
+
+    fields = "id long, digest binary, size long, total double, bands array<long>, " + ", ".join(f"{o} long" for o in OUTLINES)
+    signed = written(plain.select("id", digest128(F.col("text")).alias("digest"), "text").mapInArrow(sign, fields), "signed")
     nodes = signed.groupBy("digest").agg(F.min("id").alias("id")).select("digest", F.coalesce("id", nameless(F.col("digest"))).alias("node"))
     members = written(signed.select("id", "digest").join(nodes, "digest"), "members")
-    bands = written(signed.where("has").dropDuplicates(["digest"]).join(nodes, "digest").select("node", "bands"), "bands").select("node", F.explode("bands").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    open_ = written(bands.join(shared, "bucket").distinct(), "buckets")  # members of buckets that aren't done
-    # the texts of candidates only, one per node
-    rows = members.join(open_.select("node").distinct(), "node").groupBy("node").agg(F.min("digest").alias("digest"))
-    texts = written(_texts(plain, rows), "texts")
-    links, explored, roots, pivots = None, None, None, FIRST_PIVOTS
-    state = open_.withColumn("root", F.col("node")).withColumn("explored", F.lit(False))
+    marks = ["size", "total", "bands", *OUTLINES]
+    bands = written(signed.where("size > 0").dropDuplicates(["digest"]).join(nodes, "digest").select("node", *marks).dropDuplicates(["node"]), "bands")
+    buckets = bands.select("node", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    open_ = written(buckets.join(shared, "bucket").distinct(), "buckets")  # members of buckets that aren't done
+    candidates = open_.select("node").distinct()
+    marks_of = written(bands.join(candidates, "node"), "marks")
+    rows = members.join(candidates, "node").groupBy("node").agg(F.min("digest").alias("digest"))
+    texts = written(_texts(plain, rows), "texts")  # of candidates only, one per node
+    roots, pivots = None, FIRST_PIVOTS
+    state = open_.withColumn("root", F.col("node"))  # members that were never pivots
     while True:
-        pairs, chosen = _pairs(state, pivots)
-        found = similar(pairs, texts, sent, threshold)
-        links = written(found if links is None else links.unionByName(found), "links")
-        roots = components(links)
-        explored = chosen if explored is None else written(explored.unionByName(chosen), "explored")
-        state = open_.join(roots, "node", "left").join(explored.withColumn("_e", F.lit(True)), ["bucket", "node"], "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), F.coalesce("_e", F.lit(False)).alias("explored"))
-        undone = state.where("not explored").groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-        state = written(state.join(undone, "bucket"), "state")
+        chosen = written(_pivots(state, pivots), "pivots")
+        found = similar(_pairs(state, chosen, marks_of, threshold), texts, sent, threshold)
+        roots = components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        fresh = state.select("bucket", "node").join(chosen, "node", "left_anti").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        undone = fresh.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        state = written(fresh.join(undone, "bucket"), "state")
         if state.isEmpty():
             break
-        open_ = state.select("bucket", "node")
-        pivots *= 4
+        pivots *= MORE_PIVOTS
     classes = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return classes.select(F.col("id").alias(id_col), F.when(F.col("root") < NAMELESS, F.col("root")).alias("class_id"))
 
@@ -156,27 +158,34 @@ def _texts(plain: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
 
 
-def _pairs(state: DataFrame, pivots: int):
-    """(pairs to compare, the members that are pivots in this round, by bucket).
+def _pivots(state: DataFrame, pivots: int) -> DataFrame:
+    """The nodes that are compared next.
 
-    In a bucket with few members that were never pivots all of them are; in others ``pivots`` of them
-    from the components with the fewest such members.
+    Where few members are outside a bucket's largest component, those; else about ``pivots`` of the
+    largest component, by a hash, so that buckets of one group choose the same ones, and its first.
     """
-    fresh = state.where("not explored")
-    sizes = fresh.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
-    # the smallest component, by members; a bucket's components are no more than what its comparisons so far left apart
-    total = sizes.groupBy("bucket").agg(F.sum("n").alias("total"), F.min(F.struct("n", "first", "root")).alias("least"))
-    marked = fresh.join(total, "bucket")
-    few = marked.where(F.col("total") <= SMALL_BUCKET).select("bucket", "node")
-    many = marked.where((F.col("total") > SMALL_BUCKET) & (F.col("root") == F.col("least.root")))
-    if pivots == 1:
-        many = many.where(F.col("node") == F.col("least.first")).select("bucket", "node")
-    else:
-        # any of the smallest component and, by a hash, about as many more of the others
-        others = marked.where((F.col("total") > SMALL_BUCKET) & (F.col("node") != F.col("least.first")) & (F.pmod(F.xxhash64("node"), F.col("total")) < pivots))
-        many = many.where(F.col("node") == F.col("least.first")).select("bucket", "node").unionByName(others.select("bucket", "node"))
-    chosen = written(few.unionByName(many), "pivots")
-    against = state.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"), "explored")
-    roots = state.select("bucket", "node", "root")
-    pairs = chosen.join(roots, ["bucket", "node"]).join(against, "bucket").where((F.col("root") != F.col("other_root")) & ~F.col("explored"))
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), chosen
+    sizes = state.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+    largest = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("root")).alias("r"), "first")).alias("top"))
+    inside = F.col("root") == -F.col("top.r")
+    outside_few = F.col("all") - F.col("top.n") <= pivots
+    share = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("top.n") < F.lit(pivots * (1 << 30)).cast("double")
+    take = F.when(outside_few, ~inside).otherwise(inside & ((F.col("node") == F.col("top.first")) | (share if pivots > 1 else F.lit(False))))
+    return state.join(largest, "bucket").where(take).select("node").distinct()
+
+
+def _pairs(state: DataFrame, chosen: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a pivot and a node of another component that share a bucket and may reach the threshold."""
+    full = state.join(marks, "node")
+    columns = ["node", "root", "size", "total", "bands", *OUTLINES]
+    mine = full.join(chosen, "node").select("bucket", *(F.col(c).alias(f"p_{c}") for c in columns))
+    other = full.select("bucket", *columns)
+    p = 0.75 * (1 - threshold)  # how often two bits of a sample differ
+    apart = F.lit(0)
+    for o in OUTLINES:
+        x = F.col(o).bitwiseXOR(F.col(f"p_{o}"))
+        apart = apart + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    spread = F.sqrt(p * (1 - p) / F.least("size", "p_size", F.lit(wm.SAMPLES)))
+    may = (F.least("total", "p_total") >= (threshold - 1e-9) * F.greatest("total", "p_total")) & (apart <= wm.SAMPLES * (p + SIGMAS * spread))
+    first = F.array_position(F.zip_with("bands", "p_bands", lambda x, y: x == y), F.lit(True)) == F.array_position("bands", mine["bucket"])
+    met = mine.join(other, (mine["bucket"] == other["bucket"]) & (F.col("root") != F.col("p_root")) & may & first)
+    return met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()

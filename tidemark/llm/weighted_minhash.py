@@ -22,6 +22,7 @@ from .ragged import U, Buffer, groups_of, mixed, shingles
 SIZE, SEED = 5, 0x5EED
 BANDS, BAND_SIZE = 24, 5
 SAMPLES = BANDS * BAND_SIZE
+OUTLINE = -(-SAMPLES // 32)
 #: Counters of a row of the sketch, rows, and the least frequency that is told apart, as a share of all documents.
 WIDTH, ROWS, LEAST_SHARE = 1 << 18, 2, 0.05
 DOC_BITS = 12
@@ -70,7 +71,7 @@ def _donors() -> np.ndarray:
 
 
 def samples(shingle, weight, doc, documents: int):
-    """(sample of each document and bin, whether the document has any shingle)."""
+    """The sample of each document and bin; of a document without shingles, zeros."""
     spread = [mixed(shingle + U(k * 0x9E3779B9)) for k in range(1, 6)]
     u = [_uniform(s) for s in spread]
     r = -np.log(u[0] * u[1])
@@ -100,7 +101,7 @@ def samples(shingle, weight, doc, documents: int):
         out[rows] = np.where(fill, np.roll(taken[rows], -k, axis=1), out[rows])
         done[rows] |= fill
         rows = rows[~done[rows].all(axis=1)]
-    return out, some
+    return out
 
 
 def band_keys(sample: np.ndarray) -> np.ndarray:
@@ -112,14 +113,22 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
     return key.view(np.int64) if key.flags["C_CONTIGUOUS"] else key.copy().view(np.int64)
 
 
+def outlines(sample: np.ndarray) -> np.ndarray:
+    """Two bits of each sample, 32 samples to a number, OUTLINE numbers per document."""
+    bits = np.zeros((len(sample), OUTLINE * 32), U)
+    bits[:, :SAMPLES] = sample & U(3)
+    return np.bitwise_or.reduce(bits.reshape(len(sample), OUTLINE, 32) << (U(2) * np.arange(32, dtype=U)), axis=2).view(np.int64)
+
+
 def signatures(texts: list[bytes], frequencies: Frequencies):
-    """(band keys of each text, whether it has any word), group by group in order."""
+    """(band keys, outlines, number of different shingles, sum of their weights) of the texts, group by group in order."""
     for part in groups_of(texts, map(len, texts), GROUP_BYTES):
         for first in range(part.start, part.stop, 1 << DOC_BITS):
             some = texts[first : min(part.stop, first + (1 << DOC_BITS))]
             shingle, count, doc = document_shingles(some)
-            sample, has = samples(shingle, count * frequencies.of(shingle), doc, len(some))
-            yield band_keys(sample), has
+            weight = count * frequencies.of(shingle)
+            sample = samples(shingle, weight, doc, len(some))
+            yield band_keys(sample), outlines(sample), np.bincount(doc, minlength=len(some)), np.bincount(doc, weights=weight, minlength=len(some))
 
 
 class Weights:
