@@ -2,13 +2,20 @@
 
 Equal texts are one node. Nodes that share a band key are in one bucket; two of them are linked if
 their weighted Jaccard similarity reaches the threshold, and classes are the components of links.
-Buckets aren't paired out. In each round some members are pivots and are compared with all members of
-other components that share a bucket with them and haven't been pivots. A bucket is done when those of
-its members that were never pivots are in one component, since then every pair across components has
-been compared: the first round's pivot draws in most copies of one base, the next ones the rest, and no
-link between components is lost. A pair meets in its first common bucket only, and only if it can
-still reach the threshold: by the sums of weights (an exact bound) and by two bits of each sample
-(the bound lies SIGMAS standard deviations below the threshold; banding itself misses more).
+Pairs of a bucket aren't sent out one by one:
+
+1. Of each very large bucket one member, a pivot, is compared with all others; that joins most copies
+   of one base. A pivot needs no more comparisons in any bucket.
+2. In large buckets that are still in several components, members outside the largest component meet
+   all members, in blocks of bounded size; a block compares by products of matrices and sends the
+   links that join something.
+3. In small buckets, members outside the largest component are pivots. A pair meets in its first
+   common bucket only, and only if it can still reach the threshold: by the sums of weights (an exact
+   bound) and by four bits of each sample (SIGMAS standard deviations below the threshold; banding
+   itself misses more).
+
+A bucket is done when those of its members that were never pivots are in one component, since then
+every pair across components has been compared. No link between components is lost.
 
 Defined results: null and empty texts and texts without words are linked only to equal ones; rows
 with one id are one document; a class without any id has a null class_id, and a row without an id has
@@ -33,9 +40,9 @@ from .links import components
 SLICES = 16
 #: Nodes of texts that have no id are hashes from here on, above all ids.
 NAMELESS = 1 << 62
-#: Pivots of a bucket in the first round, and how many times more in each further one.
-FIRST_PIVOTS, MORE_PIVOTS = 1, 16
-SIGMAS = 5
+#: Members of a very large and of a large bucket; about how many a block has.
+VERY_LARGE, LARGE, BLOCK = 256, 48, 128
+SIGMAS = 4
 OUTLINES = [f"o{k}" for k in range(wm.OUTLINE)]
 
 
@@ -114,18 +121,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     marks_of = written(bands.join(candidates, "node"), "marks")
     rows = members.join(candidates, "node").groupBy("node").agg(F.min("digest").alias("digest"))
     texts = written(_texts(plain, rows), "texts")  # of candidates only, one per node
-    roots, pivots = None, FIRST_PIVOTS
     state = open_.withColumn("root", F.col("node"))  # members that were never pivots
-    while True:
-        chosen = written(_pivots(state, pivots), "pivots")
-        found = similar(_pairs(state, chosen, marks_of, threshold), texts, sent, threshold)
-        roots = components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        fresh = state.select("bucket", "node").join(chosen, "node", "left_anti").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        undone = fresh.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-        state = written(fresh.join(undone, "bucket"), "state")
-        if state.isEmpty():
-            break
-        pivots *= MORE_PIVOTS
+    first = written(_pivots(state, VERY_LARGE), "pivots")
+    roots = components(similar(_pairs(state, first, marks_of, threshold), texts, sent, threshold))
+    state = _undone(state, first, roots)
+    large = written(state.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LARGE), "large")
+    roots = components(_in_blocks(state.join(large, "bucket"), texts, sent, threshold).unionByName(_as_links(roots)))
+    state = _undone(state.join(large, "bucket", "left_anti"), first, roots)
+    rest = written(_outsiders(state), "pivots")
+    roots = components(similar(_pairs(state, rest, marks_of, threshold), texts, sent, threshold).unionByName(_as_links(roots)))
     classes = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return classes.select(F.col("id").alias(id_col), F.when(F.col("root") < NAMELESS, F.col("root")).alias("class_id"))
 
@@ -158,19 +162,71 @@ def _texts(plain: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
 
 
-def _pivots(state: DataFrame, pivots: int) -> DataFrame:
-    """The nodes that are compared next.
+def _as_links(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
-    Where few members are outside a bucket's largest component, those; else about ``pivots`` of the
-    largest component, by a hash, so that buckets of one group choose the same ones, and its first.
-    """
+
+def _undone(state: DataFrame, pivots: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members that were never pivots, with their roots, of buckets in which they are in several components."""
+    fresh = state.select("bucket", "node").join(pivots, "node", "left_anti").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    undone = fresh.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    return written(fresh.join(undone, "bucket"), "state")
+
+
+def _largest(state: DataFrame) -> DataFrame:
+    """Per bucket: its members and its largest component's members, root and first member."""
     sizes = state.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
-    largest = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("root")).alias("r"), "first")).alias("top"))
-    inside = F.col("root") == -F.col("top.r")
-    outside_few = F.col("all") - F.col("top.n") <= pivots
-    share = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("top.n") < F.lit(pivots * (1 << 30)).cast("double")
-    take = F.when(outside_few, ~inside).otherwise(inside & ((F.col("node") == F.col("top.first")) | (share if pivots > 1 else F.lit(False))))
-    return state.join(largest, "bucket").where(take).select("node").distinct()
+    return sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("root")).alias("r"), "first")).alias("top"))
+
+
+def _pivots(state: DataFrame, members_from: int) -> DataFrame:
+    """The first member of the largest component of each bucket with so many members."""
+    return _largest(state).where(F.col("all") >= members_from).select(F.col("top.first").alias("node")).distinct()
+
+
+def _outsiders(state: DataFrame) -> DataFrame:
+    """All members outside their bucket's largest component."""
+    return state.join(_largest(state), "bucket").where(F.col("root") != -F.col("top.r")).select("node").distinct()
+
+
+def _in_blocks(state: DataFrame, texts: DataFrame, sent, threshold: float) -> DataFrame:
+    """Links (a, b) between members outside a bucket's largest component and all members of other components.
+
+    Both sides are dealt by a hash to blocks of about BLOCK members, and each block of the one side
+    meets each of the other; a group has no more than the members of two blocks.
+    """
+    sides = state.join(_largest(state), "bucket").withColumn("out", F.col("root") != -F.col("top.r"))
+    blocks = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1)).cast("int")
+    of = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    outside, every = F.col("all") - F.col("top.n"), F.col("all")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    left = sides.where("out").select("bucket", "node", "root", F.lit(0).alias("side"), of(outside).alias("i"), numbers(every).alias("j"))
+    right = sides.select("bucket", "node", "root", F.lit(1).alias("side"), numbers(outside).alias("i"), of(every).alias("j"))
+    rows = left.unionByName(right).join(texts, "node").select("bucket", "i", "j", "side", "node", "root", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        weights = lru_cache(maxsize=None)(lambda text: wm.Weights(text, sent.value))
+        side = table.column("side").to_numpy()
+        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        each = [weights(t.as_py()) for t in table.column("text")]
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        near = wm.linked_across([each[k] for k in a], [each[k] for k in b], threshold) & (root[a][:, None] != root[b][None, :])
+        joined: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while joined.setdefault(x, x) != x:
+                joined[x] = x = joined[joined[x]]
+            return x
+
+        links = []
+        for x, y in zip(*np.nonzero(near)):
+            p, q = top(int(root[a[x]])), top(int(root[b[y]]))
+            if p != q:
+                joined[p] = q
+                links.append((int(node[a[x]]), int(node[b[y]])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _pairs(state: DataFrame, chosen: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
@@ -179,11 +235,12 @@ def _pairs(state: DataFrame, chosen: DataFrame, marks: DataFrame, threshold: flo
     columns = ["node", "root", "size", "total", "bands", *OUTLINES]
     mine = full.join(chosen, "node").select("bucket", *(F.col(c).alias(f"p_{c}") for c in columns))
     other = full.select("bucket", *columns)
-    p = 0.75 * (1 - threshold)  # how often two bits of a sample differ
+    p = 15 / 16 * (1 - threshold)  # how often four bits of a sample differ
     apart = F.lit(0)
     for o in OUTLINES:
         x = F.col(o).bitwiseXOR(F.col(f"p_{o}"))
-        apart = apart + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        apart = apart + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
     spread = F.sqrt(p * (1 - p) / F.least("size", "p_size", F.lit(wm.SAMPLES)))
     may = (F.least("total", "p_total") >= (threshold - 1e-9) * F.greatest("total", "p_total")) & (apart <= wm.SAMPLES * (p + SIGMAS * spread))
     first = F.array_position(F.zip_with("bands", "p_bands", lambda x, y: x == y), F.lit(True)) == F.array_position("bands", mine["bucket"])

@@ -22,7 +22,7 @@ from .ragged import U, Buffer, groups_of, mixed, shingles
 SIZE, SEED = 5, 0x5EED
 BANDS, BAND_SIZE = 24, 5
 SAMPLES = BANDS * BAND_SIZE
-OUTLINE = -(-SAMPLES // 32)
+OUTLINE = -(-SAMPLES // 16)
 #: Counters of a row of the sketch, rows, and the least frequency that is told apart, as a share of all documents.
 WIDTH, ROWS, LEAST_SHARE = 1 << 18, 2, 0.05
 DOC_BITS = 12
@@ -114,10 +114,10 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
 
 
 def outlines(sample: np.ndarray) -> np.ndarray:
-    """Two bits of each sample, 32 samples to a number, OUTLINE numbers per document."""
-    bits = np.zeros((len(sample), OUTLINE * 32), U)
-    bits[:, :SAMPLES] = sample & U(3)
-    return np.bitwise_or.reduce(bits.reshape(len(sample), OUTLINE, 32) << (U(2) * np.arange(32, dtype=U)), axis=2).view(np.int64)
+    """Four bits of each sample, 16 samples to a number, OUTLINE numbers per document."""
+    bits = np.zeros((len(sample), OUTLINE * 16), U)
+    bits[:, :SAMPLES] = sample & U(15)
+    return np.bitwise_or.reduce(bits.reshape(len(sample), OUTLINE, 16) << (U(4) * np.arange(16, dtype=U)), axis=2).view(np.int64)
 
 
 def signatures(texts: list[bytes], frequencies: Frequencies):
@@ -135,8 +135,8 @@ class Weights:
     """Sorted shingles and weights of one text."""
 
     def __init__(self, text: bytes, frequencies: Frequencies):
-        self.shingle, count, _ = document_shingles([text])
-        self.weight = count * frequencies.of(self.shingle)
+        self.shingle, self.count, _ = document_shingles([text])
+        self.weight = self.count * frequencies.of(self.shingle)
         self.total = float(self.weight.sum())
 
     def likeness(self, other: Weights) -> float:
@@ -147,3 +147,36 @@ class Weights:
         same = other.shingle[at] == self.shingle
         shared = float(np.minimum(self.weight[same], other.weight[at[same]]).sum())
         return shared / (self.total + other.total - shared)
+
+
+def linked_across(left: list[Weights], right: list[Weights], threshold: float) -> np.ndarray:
+    """Whether each text of ``left`` is as like as the threshold to each of ``right``; exact, by products of matrices.
+
+    The smaller of two counts is the number of levels that both reach, so shared weight is a sum of
+    products over levels; only shingles of both sides have columns, some at a time.
+    """
+    width = 16_384
+    some = [np.concatenate([w.shingle for w in side]) if side else np.zeros(0, U) for side in (left, right)]
+    both = np.intersect1d(*some)
+    shared = np.zeros((len(left), len(right)))
+    for first in range(0, len(both), width):
+        columns = both[first : first + width]
+        sides, idf = [], np.zeros(len(columns))
+        for side in (left, right):
+            counts = np.zeros((len(side), len(columns)), np.float32)
+            for k, w in enumerate(side):
+                at = np.minimum(np.searchsorted(columns, w.shingle), len(columns) - 1)
+                same = columns[at] == w.shingle
+                counts[k, at[same]] = w.count[same]
+                idf[at[same]] = w.weight[same] / w.count[same]
+            sides.append(counts)
+        level = 1
+        while True:
+            a, b = (sides[0] >= level), (sides[1] >= level)
+            live = a.any(axis=0) & b.any(axis=0)
+            if not live.any():
+                break
+            shared += (a[:, live] * idf[live].astype(np.float64)) @ b[:, live].T.astype(np.float64)
+            level += 1
+    total = np.array([w.total for w in left])[:, None] + np.array([w.total for w in right])[None, :] - shared
+    return shared >= (threshold - 1e-12) * np.maximum(total, 1e-300)
