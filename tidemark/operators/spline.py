@@ -79,7 +79,7 @@ class Spline:
     def prune(self, first_page: int) -> int:
         """Drop points whose segments lie wholly before a page; at least two stay. Returns how many went."""
         gone = 0
-        while len(self.points) - gone > 2 and self.points[gone + 1][1] <= first_page:
+        while len(self.points) - gone > 2 and self.points[gone + 1][1] < first_page:
             gone += 1
         del self.points[:gone]
         return gone
