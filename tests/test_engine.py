@@ -349,7 +349,7 @@ def test_spline_pruned_as_pages_go():
             key += step
             if len(rows) % 42 == 1 and len(rows) > 1:
                 page = len(rows) // 42 - 1
-                index.prune(retention.first_live_page(page + 1, 32, 4))
+                index.prune(retention.first_logged_page(page + 1, 32, 4))
                 index.add(rows[page * 42], page)
         seen.append(len(index.points))
     assert seen == [2, 3, 2]
