@@ -66,10 +66,11 @@ QUERIES = {f.__name__: f for f in (op1_quality, op2_top_k, op3_near_dedup, op4_p
 
 ORACLE_SQL = {
     "op2_top_k": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
-                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-             s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(range(1, len(q.c) + 1), i -> q.c[i] * r.c[i])) AS BIGINT) AS score
-                   FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0),
+        WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS d, unnest(embedding) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+             fit AS (SELECT vec_id FROM e GROUP BY vec_id HAVING count(*) FILTER (WHERE x IS NULL OR NOT isfinite(x)) = 0),
+             c AS (SELECT e.vec_id, d, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM e JOIN fit ON e.vec_id = fit.vec_id),
+             s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(sum(q.v * r.v) AS BIGINT) AS score
+                   FROM c q JOIN c r ON q.d = r.d AND q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
              n AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 5""",
 }

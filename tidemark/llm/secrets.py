@@ -60,7 +60,8 @@ def secret_parts(rows: DataFrame, key: str, carry: list[str], text_col: str = "t
     placed = found.repartition(key)
     ends = Window.partitionBy(key, "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(ends)).withColumn("start", F.col("end") - F.col("size"))
-    placed = placed.where(F.col("kind").isNull() | F.col("kept"))
+    # parts that are too short leave a row without a span, so that no document is lost
+    placed = placed.withColumn("kind", F.when(F.col("kept"), F.col("kind")))
     numbers = {k: i for i, k in enumerate(KINDS)}
     near = Window.partitionBy(key).orderBy("start").rangeBetween(-scope, scope)
     role = {r: F.max(F.col("kind").isin([numbers[k] for k in kinds]).cast("int")).over(near) == 1 for r, kinds in ROLES.items()}
@@ -71,7 +72,7 @@ def secret_parts(rows: DataFrame, key: str, carry: list[str], text_col: str = "t
     complete = F.when(F.col("kind") == numbers["weak_id"], F.col("_secret")).when(F.col("kind") == numbers["weak_secret"], F.col("_id")).otherwise(F.col("_id") & F.col("_secret"))
     told = F.col("kind").isNull() | base | (~F.col("_covered") & complete)
     blank = F.when(told, F.col("kind"))
-    # a row whose weak part isn't reported stays as a row without a span, so that no document is lost
+    # and so do weak parts that aren't reported
     return linked.select(key, *carry, blank.alias("kind"), F.when(told, F.col("start")).alias("start"), F.when(told, F.col("end")).alias("end"))
 
 
@@ -87,7 +88,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("start", "kind", "end"))))
     per = parts.groupBy("_row", id_col).agg(spans.alias("all"))
     base = F.filter("all", lambda x: x["kind"] < len(BASE))
-    counts = [F.size(F.filter("all", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+
+    def of_kind(number: int) -> Column:
+        return F.size(F.filter("all", lambda x: x["kind"] == number)).cast("long")
+
+    counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(BASE)]
     return per.select(id_col, *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("all")).alias("spans"))
 
 
@@ -101,17 +106,17 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
     any_part = F.lit(False)
     for pattern, _, _ in KINDS.values():
         any_part = any_part | F.regexp_like(text, F.lit(pattern))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_any", any_part)
-    parts = secret_parts(rows.where("_any").select("_row", F.col(text_col).alias("text")), "_row", [], "text", scope).where(F.col("kind").isNotNull())
-    reach = Window.partitionBy("_row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    runs = Window.partitionBy("_row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
-    merged = parts.withColumn("_new", (F.coalesce(F.max("end").over(reach), F.lit(-1)) <= F.col("start")).cast("int")).withColumn("_run", F.sum("_new").over(runs))
-    merged = merged.groupBy("_row", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    cuts = merged.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    rows = docs.withColumn("_tm_row", F.monotonically_increasing_id()).withColumn("_tm_any", any_part)
+    parts = secret_parts(rows.where("_tm_any").select("_tm_row", F.col(text_col).alias("text")), "_tm_row", [], "text", scope).where(F.col("kind").isNotNull())
+    reach = Window.partitionBy("_tm_row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    runs = Window.partitionBy("_tm_row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    merged = parts.withColumn("_tm_new", (F.coalesce(F.max("end").over(reach), F.lit(-1)) <= F.col("start")).cast("int")).withColumn("_tm_run", F.sum("_tm_new").over(runs))
+    merged = merged.groupBy("_tm_row", "_tm_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    cuts = merged.groupBy("_tm_row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_tm_cuts"))
     # what is kept lies before each cut, from the end of the one before it, and after the last
     kept = F.concat(
-        F.transform("_cuts", lambda x, i: F.substring(F.col(text_col), F.when(i > 0, F.get("_cuts", i - 1)["end"]).otherwise(0).cast("int") + 1, (x["start"] - F.when(i > 0, F.get("_cuts", i - 1)["end"]).otherwise(0)).cast("int"))),
-        F.array(F.substring(F.col(text_col), (F.element_at("_cuts", -1)["end"] + 1).cast("int"), F.length(text_col))),
+        F.transform("_tm_cuts", lambda x, i: F.substring(F.col(text_col), F.when(i > 0, F.get("_tm_cuts", i - 1)["end"]).otherwise(0).cast("int") + 1, (x["start"] - F.when(i > 0, F.get("_tm_cuts", i - 1)["end"]).otherwise(0)).cast("int"))),
+        F.array(F.substring(F.col(text_col), (F.element_at("_tm_cuts", -1)["end"] + 1).cast("int"), F.length(text_col))),
     )
-    touched = rows.where("_any").join(cuts, "_row", "left").withColumn(text_col, F.when(F.col("_cuts").isNotNull(), F.array_join(kept, mark)).otherwise(F.col(text_col)))
-    return rows.where(~F.col("_any")).select(*docs.columns).unionByName(touched.select(*docs.columns))
+    touched = rows.where("_tm_any").join(cuts, "_tm_row", "left").withColumn(text_col, F.when(F.col("_tm_cuts").isNotNull(), F.array_join(kept, mark)).otherwise(F.col(text_col)))
+    return rows.where(~F.col("_tm_any")).select(*docs.columns).unionByName(touched.select(*docs.columns))

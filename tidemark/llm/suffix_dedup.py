@@ -208,8 +208,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     workers_can_import(docs.sparkSession)
     text, plain = _prepared(docs, id_col, text_col)
     rows = written(plain.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
-    cut = _repeats(plain, rows, True).select(F.col("key").alias("_key"), F.col("kept").alias("_kept"))
-    copies = rows.where(F.col("n_bytes") >= rp.LENGTH).groupBy("key").count().where("count > 1").select(F.col("key").alias("_key"), F.lit("").alias("_kept"))
-    changed = written(copies.unionByName(cut.join(copies.select("_key"), "_key", "left_anti")), "changed")
-    joined = docs.withColumn("_key", text_key(text)).join(changed, "_key", "left")
-    return joined.withColumn(text_col, F.coalesce("_kept", F.col(text_col))).select(*docs.columns)
+    cut = _repeats(plain, rows, True).select(F.col("key").alias("_tm_key"), F.col("kept").alias("_tm_kept"))
+    copies = rows.where(F.col("n_bytes") >= rp.LENGTH).groupBy("key").count().where("count > 1").select(F.col("key").alias("_tm_key"), F.lit("").alias("_tm_kept"))
+    changed = written(copies.unionByName(cut.join(copies.select("_tm_key"), "_tm_key", "left_anti")), "changed")
+    joined = docs.withColumn("_tm_key", text_key(text)).join(changed, "_tm_key", "left")
+    return joined.withColumn(text_col, F.coalesce("_tm_kept", F.col(text_col))).select(*docs.columns)
