@@ -17,6 +17,8 @@ from .ragged import U, Buffer, mixed, window_hash
 LENGTH, GRAM = 200, 64
 CHOICES = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
+#: A window of LENGTH bytes has so many bytes before or behind its gram.
+HALF = LEFT // 2
 GRAM_SEED, WINDOW_SEED = 0xA11CE, 0xB0B5
 PLACE_BITS = 28
 GROUP_BYTES = 2_000_000
@@ -29,6 +31,8 @@ class Anchors(NamedTuple):
     last: np.ndarray
     gram: np.ndarray  # hashes
     context: np.ndarray
+    before: np.ndarray  # of the gram and HALF bytes before it
+    behind: np.ndarray  # of the gram and HALF bytes behind it
 
 
 def anchors(buffer: Buffer) -> Anchors:
@@ -38,7 +42,7 @@ def anchors(buffer: Buffer) -> Anchors:
     runs = np.maximum(buffer.lengths - LENGTH + 1, 0)
     none = np.zeros(0, np.int64)
     if not runs.any():
-        return Anchors(none, none, none, none, none.astype(U), none.astype(U))
+        return Anchors(none, none, none, none, *[none.astype(U)] * 4)
     if n >> PLACE_BITS:
         raise ValueError("a text is too long to be worked on at once")
     prefix = buffer.prefix(GRAM_SEED)
@@ -59,7 +63,9 @@ def anchors(buffer: Buffer) -> Anchors:
     doc, place = owner[change], pick[change]
     left, right = np.minimum(place - buffer.starts[doc], LEFT), np.minimum(ends[doc] - place, LENGTH)
     around = window_hash(prefix, place - left, place + right)
-    return Anchors(doc, place, window[change], window[stop], gram[place], mixed(around ^ (left * 1024 + right).astype(U)))
+    before = window_hash(prefix, place - np.minimum(left, HALF), place + GRAM)
+    behind = window_hash(prefix, place, place + np.minimum(right, GRAM + HALF))
+    return Anchors(doc, place, window[change], window[stop], gram[place], mixed(around ^ (left * 1024 + right).astype(U)), before, behind)
 
 
 def expanded(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -33,6 +33,9 @@ from .common import digest128, text_or_empty, workers_can_import, written
 from .ragged import Buffer, U, groups_of, mixed, window_hash
 
 LOWEST = -(2**63)
+ANCHOR = ["place", "first", "last", "gram", "context", "before", "behind"]
+#: Bits of a place in a packed range; the lowest bit tells that it is settled.
+PLACE = 30
 
 
 def text_key(text: Column) -> Column:
@@ -59,12 +62,6 @@ def _sent(keys: np.ndarray, values: np.ndarray, extra: np.ndarray):
     return np.where(first, onward, aside), many
 
 
-def _meet(rows: DataFrame) -> DataFrame:
-    """Rows whose value repeats: settled, or met by another row or by one that is marked."""
-    group = Window.partitionBy("route")
-    return rows.withColumn("_n", F.count(F.lit(1)).over(group)).withColumn("_m", F.max("many").over(group)).where((F.col("_n") > 1) | F.col("_m") | F.col("many"))
-
-
 def _grams(texts: DataFrame) -> DataFrame:
     """(key, gram) of the grams that come more than once."""
 
@@ -107,14 +104,15 @@ def _marked(texts: DataFrame) -> DataFrame:
             counts = np.bincount(found.doc[keep], minlength=len(raw))
             offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
             start = buffer.starts[found.doc[keep]]
-            columns = [(found.place[keep] - start).astype(np.int32), (found.first[keep] - start).astype(np.int32), (found.last[keep] - start).astype(np.int32), found.gram[keep].view(np.int64), found.context[keep].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns)], names=["key", "text", "place", "first", "last", "gram", "context"])
+            columns = [(x[keep] - start).astype(np.int32) for x in (found.place, found.first, found.last)]
+            columns += [x[keep].view(np.int64) for x in (found.gram, found.context, found.before, found.behind)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns)], names=["key", "text", *ANCHOR])
 
-    return texts.mapInArrow(run, "key long, text binary, place array<int>, first array<int>, last array<int>, gram array<long>, context array<long>")
+    return texts.mapInArrow(run, "key long, text binary, " + ", ".join(f"{c} array<{'int' if c in ANCHOR[:3] else 'long'}>" for c in ANCHOR))
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """(key, first, last): windows of the ranges of each text (key, text, ranges) that come more than once among all of them."""
+    """(key, packed range): windows of the ranges of each text (key, text, ranges) that come more than once among all of them."""
 
     def run(batches):
         for raw, rows in _parts(batches, 1):
@@ -133,22 +131,26 @@ def _windows(texts: DataFrame) -> DataFrame:
             new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (p[1:] != p[:-1] + 1)]) if len(k) else np.zeros(0, np.int64)
             stop = np.r_[new[1:], len(k)] - 1 if len(k) else new
             sent = ~lone
-            columns = [np.r_[route[sent], route[lone][new]], np.r_[key[sent], k[new]], np.r_[place[sent], p[new]].astype(np.int32), np.r_[place[sent], p[stop]].astype(np.int32), np.r_[many[sent], np.ones(len(new), bool)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["route", "key", "first", "last", "many"])
+            first, last = np.r_[place[sent], p[new]], np.r_[place[sent], p[stop]]
+            span = (((first << PLACE) | last) << 1) | np.r_[many[sent], np.ones(len(new), bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[route[sent], route[lone][new]]), pa.array(np.r_[key[sent], k[new]]), pa.array(span)], names=["route", "key", "span"])
 
-    return _meet(texts.mapInArrow(run, "route long, key long, first int, last int, many boolean")).select("key", "first", "last")
+    group = Window.partitionBy("route")
+    settled = F.col("span").bitwiseAND(F.lit(1))
+    met = texts.mapInArrow(run, "route long, key long, span long").withColumn("_n", F.count(F.lit(1)).over(group)).withColumn("_m", F.max(settled).over(group))
+    return met.where((F.col("_n") > 1) | (F.col("_m") == 1)).select("key", F.shiftright("span", 1).alias("range"))
 
 
 def _cut(texts: DataFrame, with_text: bool) -> DataFrame:
-    """Per text (key, text, ranges): bytes and runs removed, and the digest (and text) of what is left."""
+    """Per text (key, text, packed ranges): bytes and runs removed, and the digest (and text) of what is left."""
 
     def run(batches):
         for batch in batches:
             out = []
             for text, ranges in zip(batch.column(1), batch.column(2)):
                 raw = text.as_py()
-                flat = ranges.values
-                a, b = rp.removed(len(raw), flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64))
+                span = ranges.values.to_numpy()
+                a, b = rp.removed(len(raw), span >> PLACE, span & ((1 << PLACE) - 1))
                 kept = b"".join(raw[x:y] for x, y in zip(np.r_[0, b].tolist(), np.r_[a, len(raw)].tolist()))
                 out.append((len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
             columns = list(zip(*out)) or [()] * 4
@@ -165,17 +167,26 @@ def _repeats(plain: DataFrame, rows: DataFrame, with_text: bool) -> DataFrame:
     one = rows.where(F.col("n_bytes") >= rp.LENGTH).groupBy("key").agg(F.min("id").alias("id"))
     wanted = found.join(one, "key")
     marked = written(_marked(long.join(wanted, ["key", "id"]).select("key", "text", "grams")), "marked")
-    each = marked.select("key", F.explode(F.arrays_zip("place", "first", "last", "gram", "context")).alias("x")).select("key", "x.*")
-    alike = each.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("least"))
-    kinds = alike.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
-    judged = each.join(alike.join(kinds, "gram"), ["gram", "context"])
+    each = marked.select("key", F.explode(F.arrays_zip(*ANCHOR)).alias("x")).select("key", "x.*")
+    alike = written(each.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("least"), F.min("before").alias("before"), F.min("behind").alias("behind")), "alike")
+    kinds = alike.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    many = alike.join(kinds, "gram")
+    # other contexts that go on alike before, or behind: else no window that reaches so far can repeat
+    before = many.groupBy("gram", "before").agg((F.count(F.lit(1)) > 1).alias("reach_before"))
+    behind = many.groupBy("gram", "behind").agg((F.count(F.lit(1)) > 1).alias("reach_behind"))
+    partly = many.join(before, ["gram", "before"]).join(behind, ["gram", "behind"]).where("reach_before or reach_behind")
+    flags = alike.join(partly.select("gram", "context", "reach_before", "reach_behind"), ["gram", "context"], "left").where((F.col("n") > 1) | F.col("reach_before").isNotNull()).select("gram", "context", "n", "least", "reach_before", "reach_behind")
+    judged = each.drop("before", "behind").join(flags, ["gram", "context"])
     whole = F.col("n") > 1
     # of anchors with equal contexts one is enough to meet others
-    partly = (F.col("kinds") > 1) & (~whole | ((F.col("least.key") == F.col("key")) & (F.col("least.place") == F.col("place"))))
-    judged = written(judged.select("key", "first", "last", whole.alias("whole"), partly.alias("partly")).where("whole or partly"), "judged")
-    ranges = F.sort_array(F.collect_list(F.struct("first", "last"))).alias("ranges")
-    open_ = judged.where("partly").groupBy("key").agg(ranges)
-    covers = judged.where("whole").select("key", "first", "last").unionByName(_windows(marked.select("key", "text").join(open_, "key").select("key", "text", "ranges")))
+    meets = F.col("reach_before").isNotNull() & (~whole | ((F.col("least.key") == F.col("key")) & (F.col("least.place") == F.col("place"))))
+    nearest = F.when(F.col("reach_before"), F.col("first")).otherwise(F.greatest("first", F.col("place") - rp.HALF + 1))
+    farthest = F.when(F.col("reach_behind"), F.col("last")).otherwise(F.least("last", F.col("place") - rp.HALF - 1))
+    packed = F.shiftleft(F.col("first").cast("long"), PLACE).bitwiseOR(F.col("last").cast("long"))
+    judged = written(judged.select("key", packed.alias("range"), whole.alias("whole"), (meets & (nearest <= farthest)).alias("meets"), nearest.alias("first"), farthest.alias("last")).where("whole or meets"), "judged")
+    ranges = F.sort_array(F.collect_list("range")).alias("ranges")
+    open_ = judged.where("meets").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("ranges"))
+    covers = judged.where("whole").select("key", "range").unionByName(_windows(marked.select("key", "text").join(open_, "key").select("key", "text", "ranges")))
     return _cut(marked.select("key", "text").join(covers.groupBy("key").agg(ranges), "key").select("key", "text", "ranges"), with_text)
 
 
