@@ -108,6 +108,8 @@ class PieceModel:
         self._units = re.compile(f"{MARK}+[^{MARK}{breaks}]*|[^{MARK}{breaks}]+" + (f"|{breaks}" if breaks else ""))
         self.plain = self.map.units is None and self.prefix and not self.squeeze and self.fallback
         self.kept: dict[str, Unit] = {}
+        self._widths = [len(p.replace(MARK, " ").encode("utf-8")) for p in self.pieces]
+        self._decimals = [f" {k}" for k in range(len(self.pieces))]
 
     def normalised(self, text: str) -> tuple[str, list[int]]:
         """The normalised text and, for each of its characters and its end, the byte offset of the source it comes from."""
@@ -146,23 +148,20 @@ class PieceModel:
 
     def merged(self, unit: str) -> list[str]:
         """The pieces of a unit: again and again the neighbours whose union scores best are joined, the leftmost of equals first."""
-        get = self.scores.get
+        get, none = self.scores.get, float("-inf")
         parts = list(unit)
         if len(parts) <= SHORT:
-            gains = [get(a + b) for a, b in zip(parts, parts[1:])]
-            while True:
-                best, at = None, -1
-                for k, g in enumerate(gains):
-                    if g is not None and (best is None or g > best):
-                        best, at = g, k
-                if best is None:
-                    return parts
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            gains = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+            while gains and (best := max(gains)) != none:
+                at = gains.index(best)
+                joined = parts[at] + parts.pop(at + 1)
+                parts[at] = joined
                 del gains[at]
                 if at:
-                    gains[at - 1] = get(parts[at - 1] + parts[at])
+                    gains[at - 1] = get(parts[at - 1] + joined, none)
                 if at < len(gains):
-                    gains[at] = get(parts[at] + parts[at + 1])
+                    gains[at] = get(joined + parts[at + 1], none)
+            return parts
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(-g, k, a + b) for k, (a, b) in enumerate(zip(parts, parts[1:])) if (g := get(a + b)) is not None]
@@ -195,6 +194,12 @@ class PieceModel:
         return out
 
     def _unit(self, unit: str) -> Unit:
+        try:
+            ids = [self.id_of[p] for p in self.merged(unit)]
+            widths, decimal = self._widths, self._decimals
+            return Unit(array("i", ids).tobytes(), array("H", [widths[k] for k in ids]).tobytes(), unit.replace(MARK, " "), "".join([decimal[k] for k in ids]))
+        except KeyError:  # characters outside the vocabulary
+            pass
         found = self._ids_and_chars(unit)
         ids = [k for k, _, _ in found]
         widths, at = [], 0
