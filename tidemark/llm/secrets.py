@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, written
 
 VALUE = r"""["']?\x20*[:=]\x20*["']?"""
 #: Base kinds in their order: pattern, group whose length counts, least length. Fixed values.
@@ -99,15 +99,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span replaced by ``mark``; overlapping spans are replaced together. Other columns stay.
 
-    ``docs`` must give the same rows each time it is read, as a written table does. Texts without
-    any part aren't moved.
+    Texts without any part aren't moved; those with one are written first, so that their rows can be
+    numbered. ``docs`` must give the same rows each time it is read, as a table does.
     """
     text = text_or_empty(text_col)
     any_part = F.lit(False)
     for pattern, _, _ in KINDS.values():
         any_part = any_part | F.regexp_like(text, F.lit(pattern))
-    rows = docs.withColumn("_tm_row", F.monotonically_increasing_id()).withColumn("_tm_any", any_part)
-    parts = secret_parts(rows.where("_tm_any").select("_tm_row", F.col(text_col).alias("text")), "_tm_row", [], "text", scope).where(F.col("kind").isNotNull())
+    rows = docs.withColumn("_tm_any", any_part)
+    touched = written(rows.where("_tm_any"), "touched").withColumn("_tm_row", F.monotonically_increasing_id())
+    parts = secret_parts(touched.select("_tm_row", F.col(text_col).alias("text")), "_tm_row", [], "text", scope).where(F.col("kind").isNotNull())
     reach = Window.partitionBy("_tm_row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     runs = Window.partitionBy("_tm_row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     merged = parts.withColumn("_tm_new", (F.coalesce(F.max("end").over(reach), F.lit(-1)) <= F.col("start")).cast("int")).withColumn("_tm_run", F.sum("_tm_new").over(runs))
@@ -118,5 +119,5 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
         F.transform("_tm_cuts", lambda x, i: F.substring(F.col(text_col), F.when(i > 0, F.get("_tm_cuts", i - 1)["end"]).otherwise(0).cast("int") + 1, (x["start"] - F.when(i > 0, F.get("_tm_cuts", i - 1)["end"]).otherwise(0)).cast("int"))),
         F.array(F.substring(F.col(text_col), (F.element_at("_tm_cuts", -1)["end"] + 1).cast("int"), F.length(text_col))),
     )
-    touched = rows.where("_tm_any").join(cuts, "_tm_row", "left").withColumn(text_col, F.when(F.col("_tm_cuts").isNotNull(), F.array_join(kept, mark)).otherwise(F.col(text_col)))
-    return rows.where(~F.col("_tm_any")).select(*docs.columns).unionByName(touched.select(*docs.columns))
+    cut = touched.join(cuts, "_tm_row", "left").withColumn(text_col, F.when(F.col("_tm_cuts").isNotNull(), F.array_join(kept, mark)).otherwise(F.col(text_col)))
+    return rows.where(~F.col("_tm_any")).select(*docs.columns).unionByName(cut.select(*docs.columns))
