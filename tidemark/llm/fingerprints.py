@@ -81,9 +81,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     least = rows.groupBy("_block").agg(F.min("_key").alias("_key"))  # at most `most_blocks` rows
     firsts = rows.join(F.broadcast(least), ["_block", "_key"]).groupBy("_block").agg(F.min("text").alias("text"))
     ring = Window.orderBy("_block")  # one row per block
-    before = F.coalesce(F.lag("_block").over(ring), F.lit(-1))
-    last = firsts.agg(F.max("_block").alias("_last"))
-    copies = firsts.withColumn("_before", before).crossJoin(F.broadcast(last)).select(F.lit(None).cast(docs.schema[id_col].dataType).alias(id_col), "text", F.lit(None).cast("long").alias("_key"), F.when(F.col("_before") < 0, F.col("_last")).otherwise(F.col("_before")).alias("_block"), F.lit(1).alias("_copy"))
+    last = F.max("_block").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    goes_to = F.coalesce(F.lag("_block").over(ring), last)  # the first block's copy ends the last one
+    copies = firsts.select(F.lit(None).cast(docs.schema[id_col].dataType).alias(id_col), "text", F.lit(None).cast("long").alias("_key"), goes_to.alias("_block"), F.lit(1).alias("_copy"))
     order = Window.partitionBy("_block").orderBy("_copy", "_key", "text")
     return rows.withColumn("_copy", F.lit(0)).unionByName(copies).withColumn("_n", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order)).drop("_key")
 

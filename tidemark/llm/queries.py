@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .fingerprints import fingerprint_documents, within_radius
 from .line_field import fit_quality, held_out, score_quality
 from .near_dedup import near_duplicates
@@ -55,7 +55,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(table(spark, sf_dir, "documents")).drop("fingerprint_bits")
+    """Also n_within: for ids divisible by 100, how many documents' fingerprints differ in at most 3 bits, its own included."""
+    rows = written(fingerprint_documents(table(spark, sf_dir, "documents")), "fingerprints")
+    asked = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
+    found = within_radius(rows.where(asked), rows, radius=3)
+    told = rows.where(asked).join(found, "fingerprint_bits", "left")
+    return told.unionByName(rows.where(~asked).withColumn("n_within", F.lit(None).cast("long"))).drop("fingerprint_bits")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
