@@ -74,3 +74,13 @@ def text_or_empty(name: str = "text") -> Column:
 def digest128(text: Column) -> Column:
     """16 bytes of a text's SHA-256: equal for equal texts only."""
     return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+
+
+def released(batches):
+    """The batches, memory of those that are done going back to the system after each."""
+    import pyarrow as pa
+
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()

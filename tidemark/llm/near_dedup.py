@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import weighted_minhash as wm
-from .common import digest128, text_or_empty, workers_can_import, written
+from .common import digest128, released, text_or_empty, workers_can_import, written
 from .links import components
 
 SLICES = 16
@@ -51,7 +51,7 @@ def sketch(texts: DataFrame) -> np.ndarray:
 
     def count(batches):
         counters = np.zeros((wm.ROWS, wm.WIDTH), np.uint32)
-        for batch in batches:
+        for batch in released(batches):
             raw = batch.column(0).to_pylist()
             for part in wm.groups_of(raw, map(len, raw), wm.GROUP_BYTES):
                 for first in range(part.start, part.stop, 1 << wm.DOC_BITS):
@@ -82,8 +82,8 @@ def similar(pairs: DataFrame, texts: DataFrame, sent, threshold: float) -> DataF
     """Those of ``pairs`` (a, b) whose texts (node, text) reach the threshold."""
 
     def judge(batches):
-        weights = lru_cache(maxsize=256)(lambda text: wm.Weights(text, sent.value))
-        for batch in batches:
+        weights = lru_cache(maxsize=64)(lambda text: wm.Weights(text, sent.value))
+        for batch in released(batches):
             near = [weights(x.as_py()).likeness(weights(y.as_py())) >= threshold for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_())), batch.column(1).filter(pa.array(near, pa.bool_()))], names=["a", "b"])
 
@@ -102,7 +102,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     sent = spark.sparkContext.broadcast(frequencies)
 
     def sign(batches):
-        for batch in batches:
+        for batch in released(batches):
             keys, outline, size, total = zip(*wm.signatures(batch.column(2).to_pylist(), sent.value))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(keys).reshape(-1)), wm.BANDS).cast(pa.list_(pa.int64()))
             columns = [batch.column(0), batch.column(1), pa.array(np.concatenate(size)), pa.array(np.concatenate(total)), lists, *(pa.array(x) for x in np.concatenate(outline).T.copy())]

@@ -26,7 +26,7 @@ OUTLINE = -(-SAMPLES // 16)
 #: Counters of a row of the sketch, rows, and the least frequency that is told apart, as a share of all documents.
 WIDTH, ROWS, LEAST_SHARE = 1 << 18, 2, 0.05
 DOC_BITS = 12
-GROUP_BYTES = 3_000_000
+GROUP_BYTES = 1_000_000
 
 
 def document_shingles(texts: list[bytes]):
