@@ -15,7 +15,7 @@ from tidemark.functions.buckets import BUCKETS_8, BUCKETS_16, BUCKETS_64
 from tidemark.operators import blobs, custom, grouping, ingest, pages, relational, retention, scan, spline
 from tidemark.operators.ordered import Ordered
 from tidemark.schema import offset_of, resolved, schema_of, width_of
-from tidemark.sources import page_file
+from tidemark.sources import page_file, page_source
 from tidemark.streaming.ingest import guarded_append, session_windows, tumbling
 
 FEW = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -415,6 +415,25 @@ def test_page_files(spark, tmp_path):
     assert pairs(page_file.read_packed(spark, str(tmp_path / "out"))) == pairs(got)
 
 
+def test_page_source(spark, tmp_path):
+    page_source.register(spark)
+    path = str(tmp_path / "pages")
+    rows = spark.range(1000).select(F.col("id").alias("key"), (F.col("id") - 500).cast("int").alias("a"), F.lit(1).alias("b"), F.lit(-1).alias("c"))
+    rows.repartitionByRange(3, "key").sortWithinPartitions("key").write.format(page_source.FORMAT).mode("append").save(path)
+    back = spark.read.format(page_source.FORMAT).load(path)
+    assert pairs(back) == pairs(rows)
+    assert pairs(back.where("key > 100 and key <= 140 and a < -365")) == pairs(rows.where("key > 100 and key <= 140 and a < -365"))
+    assert back.where("key = 77").count() == 1 and back.where("key < 0").count() == 0
+    rows.where("key < 5").coalesce(1).write.format(page_source.FORMAT).mode("overwrite").save(path)
+    assert spark.read.format(page_source.FORMAT).load(path).count() == 5
+
+
+def test_observed(spark):
+    df, seen = scan.observed(spark.range(3, 9), "id")
+    df.collect()
+    assert seen.get == {"rows": 6, "min_key": 3, "max_key": 8}
+
+
 def test_stream_over_batches(spark, tmp_path):
     schema = "i long, k long"
     source, out = str(tmp_path / "in"), str(tmp_path / "out")

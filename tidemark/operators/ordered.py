@@ -14,15 +14,15 @@ ROWS_PER_BLOCK, MOST_BLOCKS, SHARES = 100_000, 4096, 64
 BLOCK = "_tm_block"
 
 
-def block_number(df: DataFrame, key: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
-    """The block of a row; blocks follow each other as keys do. Nulls come before all keys."""
+def block_number(df: DataFrame, key: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column | None:
+    """The block of a row; blocks follow each other as keys do. Nulls come before all keys. None if one block is enough."""
     many = min(MOST_BLOCKS, max(1, -(-df.count() // rows_per_block)))
     if many == 1:
-        return F.lit(0)
+        return None
     shares = [k / many for k in range(1, many)]
     cuts = sorted(set(df.agg(F.percentile_approx(F.col(key).cast("double"), shares, 100_000).alias("c")).first()["c"] or []))
     if not cuts:
-        return F.lit(0)
+        return None
     groups = [cuts[k : k + SHARES] for k in range(0, len(cuts), SHARES)]
     value = F.coalesce(F.col(key).cast("double"), F.lit(float("-inf")))
     heads = F.array(*(F.lit(float(g[0])) for g in groups))
@@ -36,7 +36,9 @@ class Ordered:
 
     def __init__(self, df: DataFrame, key: str, ties: tuple[str, ...] = (), rows_per_block: int = ROWS_PER_BLOCK):
         self.key, self.ties = key, ties
-        self.df = df.withColumn(BLOCK, block_number(df, key, rows_per_block))
+        block = block_number(df, key, rows_per_block)
+        self.single = block is None
+        self.df = df.withColumn(BLOCK, F.lit(0) if self.single else block)
         self.within = Window.partitionBy(BLOCK).orderBy(key, *ties)
 
     def _from_before(self, value: Column, combine) -> DataFrame:
@@ -46,6 +48,8 @@ class Ordered:
         return each.select(BLOCK, combine(ring).alias("_tm_before"))
 
     def _joined(self, df: DataFrame, before: DataFrame) -> DataFrame:
+        if self.single:
+            return df.withColumn("_tm_before", F.lit(None).cast(before.schema["_tm_before"].dataType))
         return df.join(F.broadcast(before), BLOCK, "left")
 
     def _done(self, df: DataFrame) -> DataFrame:

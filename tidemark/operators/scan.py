@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,3 +65,9 @@ def blob_chunks(df: DataFrame, key: str, blob: str, size: int) -> DataFrame:
     starts = F.when(F.length(data) > 0, F.sequence(F.lit(1), F.length(data), F.lit(size)))
     parts = df.select(key, data.alias("_tm_blob"), F.posexplode(starts).alias("chunk_no", "_tm_at"))
     return parts.select(key, "chunk_no", F.substring("_tm_blob", F.col("_tm_at"), F.lit(size)).alias("chunk"))
+
+
+def observed(df: DataFrame, key: str) -> tuple[DataFrame, Observation]:
+    """``df`` and what an action over it will have seen: rows, least and highest key."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.min(key).alias("min_key"), F.max(key).alias("max_key")), seen
