@@ -440,13 +440,15 @@ def stream_monotone(spark, sf_dir):
     return spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(out).select("event_id", "user_id")
 
 
-@query("SELECT CAST(time_bucket(INTERVAL 6 HOUR, CAST(ts AS TIMESTAMP)) AS TIMESTAMP) AS window_start, count(*) AS n, max(value) AS high FROM events GROUP BY 1")
+@query("SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, CAST(ts AS TIMESTAMP))) // 1000000 AS window_start, count(*) AS n, max(value) AS high FROM events GROUP BY 1")
 def windows_tumbling(spark, sf_dir):
-    return streaming.tumbling(table(spark, sf_dir, "events"), "ts", "6 hours", {"n": agg.count(), "high": agg.most("value")})
+    windows = streaming.tumbling(table(spark, sf_dir, "events"), "ts", "6 hours", {"n": agg.count(), "high": agg.most("value")})
+    return windows.withColumn("window_start", epoch_seconds("window_start"))
 
 
 @query("""WITH m AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 7200000000 THEN 0 ELSE 1 END AS new FROM events),
                r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM m)
-          SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, count(*) AS n FROM r GROUP BY user_id, run""")
+          SELECT user_id, epoch_us(min(ts)) // 1000000 AS session_start, (epoch_us(max(ts)) + 7200000000) // 1000000 AS session_end, count(*) AS n FROM r GROUP BY user_id, run""")
 def windows_session(spark, sf_dir):
-    return streaming.session_windows(table(spark, sf_dir, "events"), "ts", "2 hours", {"n": agg.count()}, ("user_id",))
+    sessions = streaming.session_windows(table(spark, sf_dir, "events"), "ts", "2 hours", {"n": agg.count()}, ("user_id",))
+    return sessions.withColumn("session_start", epoch_seconds("session_start")).withColumn("session_end", epoch_seconds("session_end"))
