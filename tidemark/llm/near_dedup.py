@@ -115,7 +115,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     marks = ["size", "total", "bands", *OUTLINES]
     bands = written(signed.where("size > 0").dropDuplicates(["digest"]).join(nodes, "digest").select("node", *marks).dropDuplicates(["node"]), "bands")
     buckets = bands.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # written, as other tables that are joined by bucket, so that both sides are dealt anew and Spark can split a hot bucket
+    shared = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
     open_ = written(buckets.join(shared, "bucket").distinct(), "buckets")  # members of buckets that aren't done
     candidates = open_.select("node").distinct()
     marks_of = written(bands.join(candidates, "node"), "marks")
@@ -170,13 +171,14 @@ def _undone(state: DataFrame, pivots: DataFrame, roots: DataFrame) -> DataFrame:
     """Members that were never pivots, with their roots, of buckets in which they are in several components."""
     fresh = state.select("bucket", "node").join(pivots, "node", "left_anti").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     undone = fresh.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    undone = written(undone, "undone")
     return written(fresh.join(undone, "bucket"), "state")
 
 
 def _largest(state: DataFrame) -> DataFrame:
     """Per bucket: its members and its largest component's members, root and first member."""
     sizes = state.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
-    return sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("root")).alias("r"), "first")).alias("top"))
+    return written(sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("root")).alias("r"), "first")).alias("top")), "largest")
 
 
 def _pivots(state: DataFrame, members_from: int) -> DataFrame:

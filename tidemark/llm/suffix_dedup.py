@@ -175,7 +175,9 @@ def _repeats(plain: DataFrame, rows: DataFrame, with_text: bool) -> DataFrame:
     before = many.groupBy("gram", "before").agg((F.count(F.lit(1)) > 1).alias("reach_before"))
     behind = many.groupBy("gram", "behind").agg((F.count(F.lit(1)) > 1).alias("reach_behind"))
     partly = many.join(before, ["gram", "before"]).join(behind, ["gram", "behind"]).where("reach_before or reach_behind")
-    flags = alike.join(partly.select("gram", "context", "reach_before", "reach_behind"), ["gram", "context"], "left").where((F.col("n") > 1) | F.col("reach_before").isNotNull()).select("gram", "context", "n", "least", "reach_before", "reach_behind")
+    flags = alike.join(partly.select("gram", "context", "reach_before", "reach_behind"), ["gram", "context"], "left").where((F.col("n") > 1) | F.col("reach_before").isNotNull())
+    # written, so that both sides of the next join are dealt anew and Spark can split a hot context
+    flags = written(flags.select("gram", "context", "n", "least", "reach_before", "reach_behind"), "flags")
     judged = each.drop("before", "behind").join(flags, ["gram", "context"])
     whole = F.col("n") > 1
     # of anchors with equal contexts one is enough to meet others
