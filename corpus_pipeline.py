@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import drop_tables, table, tables_so_far, written
 from tidemark.llm.line_field import fit_quality, keep_good
 from tidemark.llm.near_dedup import drop_near_duplicates
 from tidemark.llm.packing import pack_documents
@@ -56,6 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of all documents."""
     docs = table(spark, sf_dir, "documents")
+    since = tables_so_far(spark)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        drop_tables(spark, since, keep=1)  # what the stage and the ones before it have left, but for its result
     return STAGES[-1][1](spark, docs, sf_dir)

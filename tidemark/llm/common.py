@@ -50,9 +50,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _tables(spark: SparkSession) -> list[str]:
+    """Paths of the tables that this session has written and not yet dropped."""
+    context = spark.sparkContext
+    if not hasattr(context, "_tidemark_tables"):
+        context._tidemark_tables = []
+    return context._tidemark_tables
+
+
+def tables_so_far(spark: SparkSession) -> int:
+    return len(_tables(spark))
+
+
+def drop_tables(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Drop scratch tables written since there were ``since`` of them, but for the last ``keep``; results that still read them must be done."""
+    tables = _tables(spark)
+    gone = tables[since : len(tables) - keep]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    tables[since : len(tables) - keep] = []
+
+
 def gapless(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int = 64) -> DataFrame:
     """Number the rows of each key from 0 without gaps, no task holding a whole key.
 

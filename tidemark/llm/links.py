@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_tables, tables_so_far, written
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -20,6 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     A large-star step hangs a node's larger neighbours on its smallest one, a small-star step hangs
     its smaller ones there; they alternate until nothing changes, about log(nodes) times.
     """
+    spark = links.sparkSession
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = _print(edges)
     while before[0]:
@@ -29,6 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = written(small.where("a <> b").distinct(), "edges")
+        drop_tables(spark, tables_so_far(spark) - 2, keep=1)  # the round before
         after = _print(edges)
         if after == before:
             break
