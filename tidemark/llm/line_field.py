@@ -156,7 +156,7 @@ class LineField:
         inner[starts] = False
         w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
         order = np.argsort(y, kind="stable")
-        ones = [np.zeros_like(p) for p in (w, trans)] , [np.zeros_like(p) for p in (w, trans)]
+        moments = [np.zeros_like(p) for p in (w, trans)], [np.zeros_like(p) for p in (w, trans)]
         for step in range(1, rounds + 1):
             good, _, _ = marginals(x @ w, trans, lines)
             slope = x.T @ (weight * (target - good)) - decay * w
@@ -170,7 +170,7 @@ class LineField:
                 pairs[label, label] += inner_lines * 0.5 / max(1, len(part))
                 pairs -= expected * 0.5 / max(1, len(part))
             pairs -= decay * trans
-            for p, g, m, v in ((w, slope, ones[0][0], ones[1][0]), (trans, pairs, ones[0][1], ones[1][1])):
+            for p, g, m, v in ((w, slope, moments[0][0], moments[1][0]), (trans, pairs, moments[0][1], moments[1][1])):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 p += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
