@@ -186,6 +186,40 @@ def test_near_duplicates_against_brute_force(spark, docs, monkeypatch):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def lines_repeated(r):
+    """Two texts that share lines which come many times, and differ in all else."""
+    lines = [words(r, 8) for _ in range(r.randint(1, 3))]
+    times = r.randint(20, 60)
+    own = len(lines) * times * 8 // r.randint(6, 18)
+    return [" ".join([" ".join(lines * times), words(r, own)]) for _ in range(2)]
+
+
+def test_samples_follow_weights_of_repeated_lines():
+    r = random.Random(12)
+    texts = [t.encode() for _ in range(40) for t in lines_repeated(r)]
+    f = frequencies(texts)
+    weights = [wm.Weights(t, f) for t in texts]
+    like = np.array([a.likeness(b) for a, b in zip(weights[::2], weights[1::2])])
+    keys, _, _, _ = (np.concatenate(x) for x in zip(*wm.signatures(texts, f)))
+    met = (keys[::2] == keys[1::2]).any(axis=1)
+    assert (like >= 0.8).sum() > 15 and met[like >= 0.8].all()
+    shingle, count, doc = wm.document_shingles(texts)
+    sample = wm.samples(shingle, count * f.of(shingle), doc, len(texts), count)
+    agree = (sample[::2] == sample[1::2]).mean(axis=1)
+    assert abs(agree - like).max() < 0.17 and abs((agree - like).mean()) < 0.02
+
+
+def test_near_duplicates_of_repeated_lines_against_brute_force(spark, docs):
+    r = random.Random(13)
+    rows = [t for _ in range(30) for t in lines_repeated(r)]
+    f = frequencies([t.encode() for t in rows])
+    weights = [wm.Weights(t.encode(), f) for t in rows]
+    like = [a.likeness(b) >= 0.8 for a, b in zip(weights[::2], weights[1::2])]
+    assert 10 < sum(like) < 30
+    got = {q.doc_id: q.class_id for q in near_duplicates(docs(enumerate(rows))).collect()}
+    assert got == {i: i - 1 if i % 2 and like[i // 2] else i for i in range(len(rows))}
+
+
 def test_near_duplicate_edges(spark, odd, none, docs):
     got = near_duplicates(odd).collect()
     assert len(got) == len(ODD)

@@ -112,7 +112,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     signed = written(plain.select("id", digest128(F.col("text")).alias("digest"), "text").mapInArrow(sign, fields), "signed")
     nodes = signed.groupBy("digest").agg(F.min("id").alias("id")).select("digest", F.coalesce("id", nameless(F.col("digest"))).alias("node"))
     members = written(signed.select("id", "digest").join(nodes, "digest"), "members")
-    marks = ["size", "total", "bands", *OUTLINES]
+    marks = ["total", "bands", *OUTLINES]
     bands = written(signed.where("size > 0").dropDuplicates(["digest"]).join(nodes, "digest").select("node", *marks).dropDuplicates(["node"]), "bands")
     buckets = bands.select("node", F.explode("bands").alias("bucket"))
     # written, as other tables that are joined by bucket, so that both sides are dealt anew and Spark can split a hot bucket
@@ -234,7 +234,7 @@ def _in_blocks(state: DataFrame, texts: DataFrame, sent, threshold: float) -> Da
 def _pairs(state: DataFrame, chosen: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of a pivot and a node of another component that share a bucket and may reach the threshold."""
     full = state.join(marks, "node")
-    columns = ["node", "root", "size", "total", "bands", *OUTLINES]
+    columns = ["node", "root", "total", "bands", *OUTLINES]
     mine = full.join(chosen, "node").select("bucket", *(F.col(c).alias(f"p_{c}") for c in columns))
     other = full.select("bucket", *columns)
     p = 15 / 16 * (1 - threshold)  # how often four bits of a sample differ
@@ -243,7 +243,7 @@ def _pairs(state: DataFrame, chosen: DataFrame, marks: DataFrame, threshold: flo
         x = F.col(o).bitwiseXOR(F.col(f"p_{o}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         apart = apart + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
-    spread = F.sqrt(p * (1 - p) / F.least("size", "p_size", F.lit(wm.SAMPLES)))
+    spread = (p * (1 - p) / wm.SAMPLES) ** 0.5  # samples agree or not each on its own
     may = (F.least("total", "p_total") >= (threshold - 1e-9) * F.greatest("total", "p_total")) & (apart <= wm.SAMPLES * (p + SIGMAS * spread))
     first = F.array_position(F.zip_with("bands", "p_bands", lambda x, y: x == y), F.lit(True)) == F.array_position("bands", mine["bucket"])
     met = mine.join(other, (mine["bucket"] == other["bucket"]) & (F.col("root") != F.col("p_root")) & may & first)

@@ -6,11 +6,12 @@ counters; a shingle's frequency is the smaller of its two counters). Its error i
 the number of documents at any size, far below the share (a twentieth) up to which all frequencies count alike: only
 shingles of real boilerplate weigh less.
 
-Samples are improved consistent weighted sampling: per shingle the numbers r and c (gamma, shape 2)
-and b (uniform) come from its hash; t = floor(ln(w) / r + b), and the shingle with the least
-ln(c) - r (t - b + 1) is taken, along with t. Each shingle competes in one of SAMPLES bins, which a hash
-deals; an empty bin takes over the sample of the bin that a fixed sequence of it names first among
-the filled ones. So the work is one evaluation per shingle, not one per shingle and sample.
+Samples follow weights exactly, in all SAMPLES bins: each occurrence of a shingle in a document (its first, second, ...) has
+its own stream of random times, at a rate of the shingle's inverse document frequency, and each
+time falls into a random bin; a bin's sample is its first time. Streams depend on shingle and
+occurrence only, so two documents share a bin's sample with a chance of their weighted Jaccard
+similarity, bin by bin on its own, however few shingles hold the weight. Times are drawn as far as all bins are
+filled, about SAMPLES (ln SAMPLES + 2) of them and one for each occurrence, not one per occurrence and sample.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ OUTLINE = -(-SAMPLES // 16)
 WIDTH, ROWS, LEAST_SHARE = 1 << 18, 2, 0.05
 DOC_BITS = 12
 GROUP_BYTES = 1_000_000
+#: Documents that are sampled at once.
+SAMPLED = 512
 
 
 def document_shingles(texts: list[bytes]):
@@ -61,47 +64,43 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> U(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
-_TRIES = 64
-
-
-def _donors() -> np.ndarray:
-    """For each empty bin the bins that it asks, in turn."""
-    bins = np.arange(SAMPLES, dtype=U)
-    return np.stack([(mixed(bins * U(1_000_003) + U(k) * U(BANDS * 7919) + U(SEED)) % U(SAMPLES)).astype(np.int64) for k in range(1, _TRIES + 1)])
-
-
-def samples(shingle, weight, doc, documents: int):
-    """The sample of each document and bin; of a document without shingles, zeros."""
-    spread = [mixed(shingle + U(k * 0x9E3779B9)) for k in range(1, 6)]
-    u = [_uniform(s) for s in spread]
-    r = -np.log(u[0] * u[1])
-    t = np.floor(np.log(weight) / r + u[4])
-    rank = np.log(-np.log(u[2] * u[3])) - r * (t - u[4] + 1)
-    cell = doc * SAMPLES + (mixed(shingle + U(0xB135)) % U(SAMPLES)).astype(np.int64)
-    best = np.full(documents * SAMPLES, np.inf)
-    np.minimum.at(best, cell, rank)
-    won = np.flatnonzero(rank == best[cell])
-    taken = np.zeros(documents * SAMPLES, U)
-    taken[cell[won]] = mixed(shingle[won] ^ (t[won].astype(np.int64).astype(U) * U(0xC2B2AE3D27D4EB4F)))
-    taken, filled = taken.reshape(documents, SAMPLES), np.isfinite(best).reshape(documents, SAMPLES)
-    some = filled.any(axis=1)
-    out, done = taken.copy(), filled.copy()
-    for donor in _donors():
-        rows = np.flatnonzero(some & ~done.all(axis=1))
-        if not len(rows):
-            break
-        fill = ~done[rows] & filled[rows][:, donor]
-        out[rows] = np.where(fill, taken[rows][:, donor], out[rows])
-        done[rows] |= fill
-    rows = np.flatnonzero(some & ~done.all(axis=1))
-    for k in range(1, SAMPLES):  # very few bins are filled: the next filled one to the right
-        if not len(rows):
-            break
-        fill = ~done[rows] & np.roll(filled[rows], -k, axis=1)
-        out[rows] = np.where(fill, np.roll(taken[rows], -k, axis=1), out[rows])
-        done[rows] |= fill
-        rows = rows[~done[rows].all(axis=1)]
-    return out
+def samples(shingle, weight, doc, documents: int, count=None):
+    """The sample of each document and bin; of a document without shingles, zeros. ``weight`` is that of all ``count``
+    occurrences (one each, if not given); a shingle's weight for one occurrence is the same in all documents."""
+    count = np.ones(len(shingle), np.int64) if count is None else count
+    level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    stream = mixed(np.repeat(shingle, count) + level.astype(U) * U(0xA0761D6478BD642F))
+    owner, rate = np.repeat(doc, count), np.repeat(weight / count, count)
+    total = np.bincount(doc, weights=weight, minlength=documents)
+    until = SAMPLES * (np.log(SAMPLES) + 2) / np.maximum(total, 1e-300)
+    best, taken = np.full(documents * SAMPLES, np.inf), np.zeros(documents * SAMPLES, U)
+    turn, time = np.zeros(len(stream), np.int64), np.zeros(len(stream))  # of each stream's last time so far
+    while len(stream):
+        on = np.arange(len(stream))
+        while len(on):
+            many = 1 + (rate[on] * (until[owner[on]] - time[on])).astype(np.int64)
+            ends = np.cumsum(many)
+            which, step = np.repeat(on, many), np.arange(ends[-1]) - np.repeat(ends - many, many)
+            drawn = mixed(stream[which] + (turn[which] + step).astype(U) * U(0x9E3779B97F4A7C15))
+            passed = np.cumsum(-np.log(_uniform(drawn)) / rate[which])
+            at = time[which] + passed - np.repeat(np.r_[0.0, passed[ends[:-1] - 1]], many)
+            soon = np.flatnonzero(at <= until[owner[which]])
+            cell = owner[which[soon]] * SAMPLES + ((drawn[soon] & U(0xFFF)) % U(SAMPLES)).astype(np.int64)
+            np.minimum.at(best, cell, at[soon])
+            won = at[soon] == best[cell]
+            taken[cell[won]] = mixed(drawn[soon[won]])
+            # a stream whose last time is still within goes on; the others wait before their first time beyond
+            within = np.bincount(which[soon], minlength=len(stream))[on]
+            full = within == many
+            last = ends - many + within - 1
+            time[on] = np.where(within > 0, at[last], time[on])
+            turn[on] += within
+            on = on[full]
+        short = ~np.isfinite(best.reshape(documents, SAMPLES)).all(axis=1)
+        until = np.where(short, 1.5 * until, until)
+        more = short[owner]
+        stream, owner, rate, turn, time = stream[more], owner[more], rate[more], turn[more], time[more]
+    return taken.reshape(documents, SAMPLES)
 
 
 def band_keys(sample: np.ndarray) -> np.ndarray:
@@ -123,11 +122,11 @@ def outlines(sample: np.ndarray) -> np.ndarray:
 def signatures(texts: list[bytes], frequencies: Frequencies):
     """(band keys, outlines, number of different shingles, sum of their weights) of the texts, group by group in order."""
     for part in groups_of(texts, map(len, texts), GROUP_BYTES):
-        for first in range(part.start, part.stop, 1 << DOC_BITS):
-            some = texts[first : min(part.stop, first + (1 << DOC_BITS))]
+        for first in range(part.start, part.stop, SAMPLED):
+            some = texts[first : min(part.stop, first + SAMPLED)]
             shingle, count, doc = document_shingles(some)
             weight = count * frequencies.of(shingle)
-            sample = samples(shingle, weight, doc, len(some))
+            sample = samples(shingle, weight, doc, len(some), count)
             yield band_keys(sample), outlines(sample), np.bincount(doc, minlength=len(some)), np.bincount(doc, weights=weight, minlength=len(some))
 
 
@@ -176,7 +175,8 @@ def linked_across(left: list[Weights], right: list[Weights], threshold: float) -
             live = a.any(axis=0) & b.any(axis=0)
             if not live.any():
                 break
-            shared += (a[:, live] * idf[live].astype(np.float64)) @ b[:, live].T.astype(np.float64)
+            sides, idf = [side[:, live] for side in sides], idf[live]
+            shared += (a[:, live] * idf) @ b[:, live].T.astype(np.float64)
             level += 1
     total = np.array([w.total for w in left])[:, None] + np.array([w.total for w in right])[None, :] - shared
     return shared >= (threshold - 1e-12) * np.maximum(total, 1e-300)
