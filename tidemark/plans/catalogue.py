@@ -66,6 +66,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
+def _key_at(rows: DataFrame, share: float) -> int:
+    """The key that about this share of the rows does not exceed."""
+    return rows.agg(F.percentile_approx("event_id", share)).first()[0]
+
+
 # scans and lookups
 
 
@@ -108,6 +113,15 @@ def pending_rows_seen(spark, sf_dir):
     return relational.select(seen, "value", relational.GT, 50)
 
 
+@query("SELECT event_id, value FROM {events} WHERE value > 50")
+def pending_rows_seen_whole(spark, sf_dir):
+    """All rows, stored up to the median key and pending above it."""
+    rows = events(spark, sf_dir).select("event_id", "value")
+    middle = _key_at(rows, 0.5)
+    seen = scan.with_pending(rows.where(F.col("event_id") <= middle), rows.where(F.col("event_id") > middle))
+    return relational.select(seen, "value", relational.GT, 50)
+
+
 # projection and selection
 
 
@@ -249,6 +263,14 @@ def sum_wrapped(spark, sf_dir):
     return grouping.group_by(rows, {"user_id": F.col("user_id")}, {"total": agg.total("large", wrap=True)}, show_keys=True)
 
 
+@query("""SELECT user_id, CAST((sum(CAST(event_id AS HUGEINT) * 4611686018427387904) + 9223372036854775808) % 18446744073709551616 - 9223372036854775808 AS BIGINT) AS total
+          FROM {events} GROUP BY 1""")
+def sum_wrapped_whole(spark, sf_dir):
+    """All rows."""
+    rows = events(spark, sf_dir).withColumn("large", F.col("event_id").cast("decimal(10,0)") * F.lit("4611686018427387904").cast("decimal(19,0)"))
+    return grouping.group_by(rows, {"user_id": F.col("user_id")}, {"total": agg.total("large", wrap=True)}, show_keys=True)
+
+
 @query("SELECT user_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM {events} GROUP BY 1 HAVING count(*) >= 65 AND sum(v) <> 3000")
 def having_selection(spark, sf_dir):
     users = grouping.group_by(events(spark, sf_dir), {"user_id": F.col("user_id")}, {"n": agg.count(), "total": agg.total("v")}, show_keys=True)
@@ -317,6 +339,18 @@ def ingest_table(spark, sf_dir):
     return stored.rows()
 
 
+@query("SELECT event_id, v FROM {events}")
+def ingest_table_whole(spark, sf_dir):
+    """All rows: flushed up to the median key, then put from the lower quartile on."""
+    rows = events(spark, sf_dir).select("event_id", "v")
+    quarter, middle = _key_at(rows, 0.25), _key_at(rows, 0.5)
+    stored = ingest.Table(spark, scratch(spark, "table"), "event_id", "event_id", rows.schema)
+    stored.put(rows.where(F.col("event_id") <= middle))
+    stored.flush()
+    stored.put(rows.where(F.col("event_id") >= quarter))  # those up to the median come too late
+    return stored.rows()
+
+
 P_SQL = f"((SELECT count(*) FROM events) - 1) // {PER_PAGE}"
 LIVE_SQL = f"(SELECT CASE WHEN p <= {RING} THEN 0 ELSE (p - {RING} + {BLOCK} - 1) // {BLOCK} * {BLOCK} END FROM (SELECT {P_SQL} AS p))"
 REOPENED_SQL = f"(SELECT CASE WHEN p <= {RING} THEN 0 WHEN p % {RING} = 0 THEN p - {RING} ELSE p - {RING} + {BLOCK} - p % {BLOCK} END FROM (SELECT {P_SQL} AS p))"
@@ -388,6 +422,15 @@ def spline_lookup(spark, sf_dir):
     return spline.page_of(keys, "key", summary, spline.build(summary)).select("key", "page_id")
 
 
+@query("SELECT event_id AS key, page_id FROM {paged}")
+def spline_lookup_whole(spark, sf_dir):
+    """All keys."""
+    rows = paged(spark, sf_dir)
+    summary = pages.page_summary(rows, "event_id", "v")
+    keys = rows.select(F.col("event_id").alias("key"))
+    return spline.page_of(keys, "key", summary, spline.build(summary)).select("key", "page_id")
+
+
 # operators and aggregates that users bring
 
 
