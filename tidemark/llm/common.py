@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
+#: Bytes of a batch for a Python worker, where the session has Spark's default; a longer text is a batch of its own.
+BATCH_BYTES, SPARK_BYTES = "4194304b", "67108864b"
+#: Bits of a membership bitmap for each key, and of a whole one at most (16 MB).
+BITS, MOST_BITS, PER_BITMAP = 16, 1 << 27, 32_768
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +31,13 @@ def tokenizer_path(name: str) -> str:
 
 
 def workers_can_import(spark: SparkSession) -> None:
-    """Put this package on the Python workers' path (a cluster without this folder gets it by --py-files)."""
+    """Put this package on the Python workers' path (a cluster without this folder gets it by --py-files), and bound their batches."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if PACKAGE_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", SPARK_BYTES) == SPARK_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -99,6 +107,31 @@ def digest128(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
 
 
+def among(rows: DataFrame, key: Column, keys: DataFrame, n: int) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't in the one column of ``keys`` (``n`` rows); none that is goes.
+
+    Keys set bits of a bitmap that is broadcast, at most MOST_BITS in all. With so many keys that it
+    would be no sieve, all rows stay.
+    """
+    bits = max(PER_BITMAP, -(-BITS * n // PER_BITMAP) * PER_BITMAP)
+    if bits > MOST_BITS:
+        return rows
+    spot = F.pmod(F.xxhash64(keys.columns[0]), F.lit(bits))
+    maps = keys.select(spot.alias("s")).groupBy(F.expr(f"s div {PER_BITMAP}").alias("_tm_map")).agg(F.expr(f"bitmap_construct_agg(s % {PER_BITMAP})").alias("_tm_bits"))
+    place = rows.withColumn("_tm_spot", F.pmod(F.xxhash64(key), F.lit(bits))).withColumn("_tm_map", F.expr(f"_tm_spot div {PER_BITMAP}"))
+    byte = F.conv(F.hex(F.expr(f"substring(_tm_bits, cast(_tm_spot % {PER_BITMAP} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = place.join(F.broadcast(maps), "_tm_map").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_tm_spot % 8 as int))")) != 0)
+    return hit.select(*rows.columns)
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
 def released(batches):
     """The batches, memory of those that are done going back to the system after each."""
     import pyarrow as pa
@@ -107,3 +140,4 @@ def released(batches):
         yield batch
         del batch
         pa.default_memory_pool().release_unused()
+        _trim()(0)

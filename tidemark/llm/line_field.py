@@ -2,7 +2,7 @@
 
 Every line is good or bad. Its features are measured shares of its bytes and words and those of the
 lines before and after it; a chain couples neighbours. The field is fitted by gradient ascent on
-the likelihood of labelled documents, each line bearing its document's label. A document's score
+one weighted likelihood of labelled documents, each line bearing its document's label. A document's score
 is the mean of its lines' marginals (forward-backward), weighted by line length, brought to a
 probability by a logistic curve fitted on the same documents.
 
@@ -17,12 +17,14 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import workers_can_import
+from .common import released, workers_can_import
 from .ragged import Buffer, byte_numbers, groups_of
 
 #: Kinds of bytes; a continuation byte is none of them.
@@ -35,7 +37,7 @@ KIND[192:] = LETTER
 for _c, _k in ((" \t", SPACE), (".,;:'?-\"()", STOP), ("!", SHOUT), ("|", BAR)):
     KIND[[ord(c) for c in _c]] = _k
 FEATURES = 14
-GROUP_BYTES = 3_000_000
+GROUP_BYTES = 1_000_000
 
 
 def measured(texts: list[str]):
@@ -90,9 +92,11 @@ def with_neighbours(x: np.ndarray, lines: np.ndarray) -> np.ndarray:
     return np.concatenate([x, before, after, edges, np.ones((n, 1))], axis=1)
 
 
-def marginals(emission: np.ndarray, transition: np.ndarray, lines: np.ndarray):
+def marginals(emission: np.ndarray, transition: np.ndarray, lines: np.ndarray, share: np.ndarray | None = None):
     """(probability that each line is good, probabilities of neighbours' label pairs summed, log of the sum over all labellings).
 
+    ``share`` weighs the texts in the sum over pairs.
+
     ``emission`` is the score of label good, that of bad is 0. Texts are worked on side by side, the longest first.
     """
     ends = np.cumsum(lines)
@@ -120,7 +124,19 @@ def marginals(emission: np.ndarray, transition: np.ndarray, lines: np.ndarray):
     inner[starts] = False
     at = np.flatnonzero(inner)
     pair = forward[at - 1][:, :, None] + transition[None] + np.stack([np.zeros(len(at)), emission[at]], axis=1)[:, None, :] + backward[at][:, None, :] - line_total[at][:, None, None]
-    return good, np.exp(np.minimum(0, pair)).sum(axis=0), total
+    pair = np.exp(np.minimum(0, pair))
+    return good, (pair if share is None else pair * np.repeat(share, lines)[at][:, None, None]).sum(axis=0), total
+
+
+def likelihood(x: np.ndarray, weights: np.ndarray, transition: np.ndarray, lines: np.ndarray, labels: np.ndarray, share: np.ndarray, decay: float):
+    """(weighted log-likelihood of texts whose lines all bear their text's label, less a penalty; its slopes by weights and by transitions)."""
+    target = np.repeat(labels, lines)
+    emission = x @ weights
+    good, pairs, total = marginals(emission, transition, lines, share)
+    each = np.repeat(share, lines)
+    alike = np.array([(share * (lines - 1))[labels == label].sum() for label in (0, 1)])  # neighbours of a text have its label
+    value = (each * target * emission).sum() + alike @ np.diag(transition) - share @ total - decay / 2 * ((weights**2).sum() + (transition**2).sum())
+    return value, x.T @ (each * (target - good)) - decay * weights, np.diag(alike) - pairs - decay * transition
 
 
 def weighted_means(good: np.ndarray, size: np.ndarray, lines: np.ndarray) -> np.ndarray:
@@ -147,29 +163,12 @@ class LineField:
         raw, size, lines = measured(texts)
         mean, scale = raw.mean(axis=0), raw.std(axis=0) + 1e-6
         x = with_neighbours(np.clip((raw - mean) / scale, -4, 4), lines)
-        target = np.repeat(y, lines)
         # documents count alike, whatever their number of lines, and both labels count alike
         share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / lines / len(y)
-        weight = np.repeat(share, lines)
-        starts = np.cumsum(lines) - lines
-        inner = np.ones(len(x), bool)
-        inner[starts] = False
         w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
-        order = np.argsort(y, kind="stable")
         moments = [np.zeros_like(p) for p in (w, trans)], [np.zeros_like(p) for p in (w, trans)]
         for step in range(1, rounds + 1):
-            good, _, _ = marginals(x @ w, trans, lines)
-            slope = x.T @ (weight * (target - good)) - decay * w
-            pairs = np.zeros((2, 2))
-            for label in (0, 1):
-                # neighbours of a document have its label
-                some = order[y[order] == label]
-                part = _taken(lines, some)
-                _, expected, _ = marginals((x @ w)[part], trans, lines[some])
-                inner_lines = lines[some].sum() - len(some)
-                pairs[label, label] += inner_lines * 0.5 / max(1, len(part))
-                pairs -= expected * 0.5 / max(1, len(part))
-            pairs -= decay * trans
+            _, slope, pairs = likelihood(x, w, trans, lines, y, share, decay)
             for p, g, m, v in ((w, slope, moments[0][0], moments[1][0]), (trans, pairs, moments[0][1], moments[1][1])):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
@@ -202,13 +201,6 @@ class LineField:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def _taken(lines, some) -> np.ndarray:
-    """Places of the lines of the texts ``some``."""
-    starts = (np.cumsum(lines) - lines)[some]
-    n = lines[some]
-    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -227,22 +219,26 @@ def score_quality(docs: DataFrame, field: LineField, id_col: str = "doc_id", tex
     workers_can_import(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            scores = field.scores([t.as_py() or "" for t in batch.column(1)])
+        for batch in released(batches):
+            scores = field.scores([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, score double")
 
 
+def quality_score(field: LineField, text: Column) -> Column:
+    """The score of a column of texts; only the texts go to the Python workers, and only the scores come back."""
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in released(parts):
+            yield pa.array(field.scores([t or "" for t in texts.to_pylist()]), pa.float64())
+
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "double")(text.cast("string"))
+
+
 def keep_good(docs: DataFrame, field: LineField, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``threshold``, with all their columns."""
     workers_can_import(docs.sparkSession)
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        for batch in batches:
-            scores = field.scores([t.as_py() or "" for t in batch.column(at)])
-            yield batch.filter(pa.array(scores >= threshold, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(quality_score(field, F.col(text_col)) >= threshold)

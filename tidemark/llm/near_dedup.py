@@ -7,24 +7,26 @@ Pairs of a bucket aren't sent out one by one:
 1. Of each very large bucket one member, a pivot, is compared with all others; that joins most copies
    of one base. A pivot needs no more comparisons in any bucket.
 2. In large buckets that are still in several components, members outside the largest component meet
-   all members, in blocks of bounded size; a block compares by products of matrices and sends the
-   links that join something.
-3. In small buckets, members outside the largest component are pivots. A pair meets in its first
-   common bucket only, and only if it can still reach the threshold: by the sums of weights (an exact
-   bound) and by four bits of each sample (SIGMAS standard deviations below the threshold; banding
-   itself misses more).
+   all members of other components, in blocks of bounded size; a block compares by products of
+   matrices and sends the links that join something. Members whose sums of weights are so far apart
+   that they can't reach the threshold are in other blocks and don't meet.
+3. In small buckets, members outside the largest component are pivots.
 
-A bucket is done when those of its members that were never pivots are in one component, since then
-every pair across components has been compared. No link between components is lost.
+A pair is left out only if it is in one component already or if the sums of weights rule it out,
+which is exact. A bucket is done when those of its members that were never pivots are in one
+component, since then every pair across components has been compared. No link between components is
+lost. Links that were found are kept: each row has the number of its text's verified links and the
+greatest similarity among them; of links within a component only those are verified that joined it.
 
 Defined results: null and empty texts and texts without words are linked only to equal ones; rows
-with one id are one document; a class without any id has a null class_id, and a row without an id has
+with one id are one document, that of its text with the least digest; a class without any id has a null class_id, and a row without an id has
 the class of its text; ids are below 2**62; repeated
 rows give repeated results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from functools import lru_cache
 
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import weighted_minhash as wm
-from .common import digest128, released, text_or_empty, workers_can_import, written
+from .common import among, digest128, released, text_or_empty, workers_can_import, written
 from .links import components
 
 SLICES = 16
@@ -42,8 +44,8 @@ SLICES = 16
 NAMELESS = 1 << 62
 #: Members of a very large and of a large bucket; about how many a block has.
 VERY_LARGE, LARGE, BLOCK = 256, 48, 128
-SIGMAS = 4
-OUTLINES = [f"o{k}" for k in range(wm.OUTLINE)]
+#: Similarities are compared with so much of a margin for the order of additions.
+MARGIN = 1e-9
 
 
 def sketch(texts: DataFrame) -> np.ndarray:
@@ -61,106 +63,136 @@ def sketch(texts: DataFrame) -> np.ndarray:
         slices = np.split(counters.reshape(-1), SLICES)
         some = [k for k, s in enumerate(slices) if s.any()]
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(slices[k].tobytes(), 1) for k in some], pa.binary())], names=["slice", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_packed(slices[k]) for k in some], pa.binary())], names=["slice", "packed"])
 
     def add(key, rows):
         total = np.zeros(wm.ROWS * wm.WIDTH // SLICES, np.uint64)
         for x in rows.column("packed"):
-            part = zlib.decompress(x.as_py())
-            total += np.frombuffer(part, np.uint32 if len(part) == 4 * len(total) else np.uint64)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "packed": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+            total += _unpacked(x.as_py())
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "packed": pa.array([_packed(total)], pa.binary())})
 
     packed = texts.mapInArrow(count, "slice int, packed binary")
     packed = packed.groupBy("slice", F.pmod(F.xxhash64("packed"), F.lit(32))).applyInArrow(add, "slice int, packed binary").groupBy("slice").applyInArrow(add, "slice int, packed binary")
     counters = np.zeros(wm.ROWS * wm.WIDTH, np.uint64).reshape(SLICES, -1)
-    for k, x in packed.toLocalIterator():  # 4 MB at any size of the input
-        counters[k] = np.frombuffer(zlib.decompress(bytes(x)), np.uint64)
+    for k, x in packed.toLocalIterator():  # 16 MB at any size of the input
+        counters[k] = _unpacked(bytes(x))
     return counters.reshape(wm.ROWS, wm.WIDTH)
 
 
+def _packed(counters: np.ndarray) -> bytes:
+    """Counters in the fewest bytes that hold the largest, compressed; the first byte tells how many."""
+    width = next(w for w in (1, 2, 4, 8) if int(counters.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + zlib.compress(counters.astype(f"<u{width}").tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[1:]), f"<u{packed[0]}").astype(np.uint64)
+
+
 def similar(pairs: DataFrame, texts: DataFrame, sent, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts (node, text) reach the threshold."""
+    """Those of ``pairs`` (a pivot a, a node b) whose texts (node, text) reach the threshold, with their similarity.
+
+    A node's text goes to its pivot's, which isn't sent out with each pair.
+    """
 
     def judge(batches):
-        weights = lru_cache(maxsize=64)(lambda text: wm.Weights(text, sent.value))
+        weights = lru_cache(maxsize=16)(lambda text: wm.Weights(text, sent.value))
         for batch in released(batches):
-            near = [weights(x.as_py()).likeness(weights(y.as_py())) >= threshold for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_())), batch.column(1).filter(pa.array(near, pa.bool_()))], names=["a", "b"])
+            near = [weights(x.as_py()).likeness(weights(y.as_py())) for x, y in zip(batch.column(2), batch.column(3))]
+            found = pa.table([batch.column(0), batch.column(1), pa.array(near, pa.float64())], names=["a", "b", "similarity"])
+            yield from found.filter(pa.array([x >= threshold - MARGIN for x in near], pa.bool_())).to_batches()
 
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+    return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(judge, LINK)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id and class_id, the smallest id of its class."""
+LINK = "a long, b long, similarity double"
+
+
+def classified(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row's id, digest of its text, root (the least node of its class), n_links and top_similarity."""
     spark = docs.sparkSession
     workers_can_import(spark)
     text = text_or_empty(text_col)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"))
-    frequencies = wm.Frequencies(sketch(plain.select("text")), plain.count())
-    sent = spark.sparkContext.broadcast(frequencies)
+    sent = spark.sparkContext.broadcast(wm.Frequencies(sketch(plain.select("text")), plain.count()))
 
     def sign(batches):
         for batch in released(batches):
-            keys, outline, size, total = zip(*wm.signatures(batch.column(2).to_pylist(), sent.value))
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(keys).reshape(-1)), wm.BANDS).cast(pa.list_(pa.int64()))
-            columns = [batch.column(0), batch.column(1), pa.array(np.concatenate(size)), pa.array(np.concatenate(total)), lists, *(pa.array(x) for x in np.concatenate(outline).T.copy())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "size", "total", "bands", *OUTLINES])
+            keys, size, total = map(np.concatenate, zip(*wm.signatures(batch.column(2).to_pylist(), sent.value)))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), wm.BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(total), lists], names=["id", "digest", "size", "total", "bands"])
 
-    fields = "id long, digest binary, size long, total double, bands array<long>, " + ", ".join(f"{o} long" for o in OUTLINES)
-    signed = written(plain.select("id", digest128(F.col("text")).alias("digest"), "text").mapInArrow(sign, fields), "signed")
+    signed = plain.select("id", digest128(F.col("text")).alias("digest"), "text").mapInArrow(sign, "id long, digest binary, size long, total double, bands array<long>")
+    signed = written(signed, "signed")
     nodes = signed.groupBy("digest").agg(F.min("id").alias("id")).select("digest", F.coalesce("id", nameless(F.col("digest"))).alias("node"))
+    # written, as other tables that are joined by a key that may be hot, so that both sides are dealt anew and Spark can split it
+    nodes = written(nodes, "nodes")
     members = written(signed.select("id", "digest").join(nodes, "digest"), "members")
-    marks = ["total", "bands", *OUTLINES]
-    bands = written(signed.where("size > 0").dropDuplicates(["digest"]).join(nodes, "digest").select("node", *marks).dropDuplicates(["node"]), "bands")
-    buckets = bands.select("node", F.explode("bands").alias("bucket"))
-    # written, as other tables that are joined by bucket, so that both sides are dealt anew and Spark can split a hot bucket
+    own = nodes.groupBy("node").agg(F.min("digest").alias("digest"))
+    bands = signed.where("size > 0").withColumn("node", _node_of(F.col("id"), F.col("digest"))).join(own, ["node", "digest"])
+    bands = written(bands.dropDuplicates(["node", "digest"]).select("node", "digest", "total", "bands"), "bands")
+    buckets = bands.select("node", "total", F.explode("bands").alias("bucket"))
     shared = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
-    open_ = written(buckets.join(shared, "bucket").distinct(), "buckets")  # members of buckets that aren't done
-    candidates = open_.select("node").distinct()
-    marks_of = written(bands.join(candidates, "node"), "marks")
-    rows = members.join(candidates, "node").groupBy("node").agg(F.min("digest").alias("digest"))
-    texts = written(_texts(plain, rows), "texts")  # of candidates only, one per node
+    open_ = written(buckets.join(shared, "bucket"), "buckets")  # members of buckets that aren't done
+    candidates = written(bands.select("node", "digest").join(open_.select("node").distinct(), "node"), "candidates")
+    texts = written(_texts(plain, candidates), "texts")
     state = open_.withColumn("root", F.col("node"))  # members that were never pivots
     first = written(_pivots(state, VERY_LARGE), "pivots")
-    roots = components(similar(_pairs(state, first, marks_of, threshold), texts, sent, threshold))
-    state = _undone(state, first, roots)
-    large = written(state.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LARGE), "large")
-    roots = components(_in_blocks(state.join(large, "bucket"), texts, sent, threshold).unionByName(_as_links(roots)))
-    state = _undone(state.join(large, "bucket", "left_anti"), first, roots)
-    rest = written(_outsiders(state), "pivots")
-    roots = components(similar(_pairs(state, rest, marks_of, threshold), texts, sent, threshold).unionByName(_as_links(roots)))
-    classes = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return classes.select(F.col("id").alias(id_col), F.when(F.col("root") < NAMELESS, F.col("root")).alias("class_id"))
+    links, roots = spark.createDataFrame([], LINK), spark.createDataFrame([], "node long, root long")
+
+    def joined(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        new = written(found, "links")
+        return links.unionByName(new), components(new.select("a", "b").unionByName(_as_links(roots)))
+
+    if not first.isEmpty():
+        links, roots = joined(similar(_pairs(state, first, threshold), texts, sent, threshold))
+        state = _undone(state, first, roots)
+    large = written(state.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LARGE).select("bucket"), "large")
+    if not large.isEmpty():
+        links, roots = joined(_in_blocks(written(state.join(large, "bucket"), "open"), texts, sent, threshold))
+        state = _undone(state.join(large, "bucket", "left_anti"), first, roots)
+    links, roots = joined(similar(_pairs(state, written(_outsiders(state), "pivots"), threshold), texts, sent, threshold))
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    told = ends.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"), F.max("similarity").alias("top_similarity"))
+    per = written(roots.join(told, "node", "left"), "classes")
+    classes = members.join(per, "node", "left")
+    return classes.select("id", "digest", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "top_similarity")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row's id, class_id (the smallest id of its class), n_links and top_similarity (of its text with other texts; null without links)."""
+    classes = classified(docs, threshold, id_col, text_col)
+    return classes.select(F.col("id").alias(id_col), F.when(F.col("root") < NAMELESS, F.col("root")).alias("class_id"), "n_links", "top_similarity")
 
 
 def nameless(digest: Column) -> Column:
     return F.xxhash64(digest).bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
 
 
+def _node_of(id_: Column, digest: Column) -> Column:
+    return F.coalesce(id_, nameless(digest))
+
+
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, the one with the smallest id, once. Rows of classes without ids stay. Other columns stay."""
-    classes = near_duplicates(docs, threshold, id_col, text_col)
-    kept = written(classes.where(F.col(id_col) == F.col("class_id")).select(id_col).distinct(), "kept")
-    one = Window.partitionBy(id_col).orderBy(text_col)
-    first = docs.join(kept, id_col, "left_semi").withColumn("_tm_place", F.row_number().over(one)).where("_tm_place = 1").drop("_tm_place")
-    alone = docs.where(F.col(id_col).isNull())
-    named = classes.where("class_id is not null").select("class_id")
-    if alone.isEmpty():
-        return first.select(*docs.columns)
-    # texts of rows without an id that belong to a class with one go
-    texts = docs.join(named.distinct().withColumnRenamed("class_id", id_col), id_col, "left_semi").select(digest128(text_or_empty(text_col)).alias("_tm_digest")).distinct()
-    free = alone.withColumn("_tm_digest", digest128(text_or_empty(text_col))).join(texts, "_tm_digest", "left_anti")
-    return first.select(*docs.columns).unionByName(free.select(*docs.columns))
+    """One row of each class: that with the smallest id, among those of one id (or of none) that with the least digest. Other columns stay."""
+    classes = classified(docs, threshold, id_col, text_col)
+    kept = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("kept"))
+    kept = written(kept.select(F.col("kept.id").alias("_tm_id"), F.col("kept.digest").alias("_tm_digest")), "kept")
+    keyed = docs.withColumn("_tm_id", F.col(id_col).cast("long")).withColumn("_tm_digest", digest128(text_or_empty(text_col)))
+    # nulls are no keys of joins
+    named = keyed.withColumn("_tm_key", _node_of(F.col("_tm_id"), F.col("_tm_digest"))).drop("_tm_id")
+    wanted = kept.select(_node_of(F.col("_tm_id"), F.col("_tm_digest")).alias("_tm_key"), "_tm_digest")
+    one = Window.partitionBy("_tm_key", "_tm_digest").orderBy(F.lit(0))
+    return named.join(wanted, ["_tm_key", "_tm_digest"], "left_semi").withColumn("_tm_place", F.row_number().over(one)).where("_tm_place = 1").select(*docs.columns)
 
 
 def _texts(plain: DataFrame, rows: DataFrame) -> DataFrame:
-    """The text of each node: that of the row whose id the node has and whose digest is the node's."""
-    held = plain.withColumn("node", F.coalesce(F.col("id"), nameless(digest128(F.col("text")))))
-    joined = held.join(rows, "node").where(digest128(F.col("text")) == F.col("digest")).select("node", "text")
-    one = Window.partitionBy("node").orderBy(F.length("text"))
-    return joined.withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
+    """The text of each node of ``rows`` (node, digest): that of a row whose id the node has and whose digest is the node's."""
+    keyed = plain.withColumn("digest", digest128(F.col("text")))
+    held = among(keyed, F.col("digest"), rows.select("digest"), rows.count()).withColumn("node", _node_of(F.col("id"), F.col("digest")))
+    return held.join(rows, ["node", "digest"]).groupBy("node", "digest").agg(F.first("text").alias("text")).select("node", "text")
 
 
 def _as_links(roots: DataFrame) -> DataFrame:
@@ -169,7 +201,7 @@ def _as_links(roots: DataFrame) -> DataFrame:
 
 def _undone(state: DataFrame, pivots: DataFrame, roots: DataFrame) -> DataFrame:
     """Members that were never pivots, with their roots, of buckets in which they are in several components."""
-    fresh = state.select("bucket", "node").join(pivots, "node", "left_anti").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    fresh = state.drop("root").join(pivots, "node", "left_anti").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     undone = fresh.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     undone = written(undone, "undone")
     return written(fresh.join(undone, "bucket"), "state")
@@ -192,19 +224,25 @@ def _outsiders(state: DataFrame) -> DataFrame:
 
 
 def _in_blocks(state: DataFrame, texts: DataFrame, sent, threshold: float) -> DataFrame:
-    """Links (a, b) between members outside a bucket's largest component and all members of other components.
+    """Links (a, b, similarity) between members outside a bucket's largest component and all members of other components.
 
-    Both sides are dealt by a hash to blocks of about BLOCK members, and each block of the one side
-    meets each of the other; a group has no more than the members of two blocks.
+    Members are dealt by the logarithm of their sum of weights to classes, so that two that can reach
+    the threshold are in one class or in neighbouring ones, and within a class by a hash to blocks of
+    about BLOCK members. Each block of outsiders meets each block of members of its class and the
+    two beside it; a group has no more than the members of two blocks.
     """
     sides = state.join(_largest(state), "bucket").withColumn("out", F.col("root") != -F.col("top.r"))
-    blocks = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1)).cast("int")
+    sides = sides.withColumn("c", F.floor(F.log("total") / F.lit(-math.log(threshold - MARGIN))).cast("int")).select("bucket", "node", "root", "out", "c")
+    sizes = sides.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("every"), F.sum(F.col("out").cast("int")).alias("outside"))
+    sizes = written(sizes, "sizes")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     of = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
-    outside, every = F.col("all") - F.col("top.n"), F.col("all")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    left = sides.where("out").select("bucket", "node", "root", F.lit(0).alias("side"), of(outside).alias("i"), numbers(every).alias("j"))
-    right = sides.select("bucket", "node", "root", F.lit(1).alias("side"), numbers(outside).alias("i"), of(every).alias("j"))
-    rows = left.unionByName(right).join(texts, "node").select("bucket", "i", "j", "side", "node", "root", "text")
+    there = sizes.select("bucket", F.col("c").alias("d"), F.col("every").alias("d_every"), F.col("outside").alias("d_outside"))
+    near = sides.join(sizes, ["bucket", "c"]).withColumn("d", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1))).join(there, ["bucket", "d"])
+    left = near.where("out").select("bucket", "node", "root", F.lit(0).alias("side"), "c", "d", of(F.col("outside")).alias("i"), numbers(F.col("d_every")).alias("j"))
+    right = near.where("d_outside > 0").select("bucket", "node", "root", F.lit(1).alias("side"), F.col("d").alias("c"), F.col("c").alias("d"), numbers(F.col("d_outside")).alias("i"), of(F.col("every")).alias("j"))
+    rows = left.unionByName(right).join(texts, "node").select("bucket", "c", "d", "i", "j", "side", "node", "root", "text")
 
     def compare(table: pa.Table) -> pa.Table:
         weights = lru_cache(maxsize=None)(lambda text: wm.Weights(text, sent.value))
@@ -212,7 +250,8 @@ def _in_blocks(state: DataFrame, texts: DataFrame, sent, threshold: float) -> Da
         node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
         each = [weights(t.as_py()) for t in table.column("text")]
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        near = wm.linked_across([each[k] for k in a], [each[k] for k in b], threshold) & (root[a][:, None] != root[b][None, :])
+        like = wm.likenesses([each[k] for k in a], [each[k] for k in b])
+        near = (like >= threshold - MARGIN) & (root[a][:, None] != root[b][None, :])
         joined: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -225,26 +264,19 @@ def _in_blocks(state: DataFrame, texts: DataFrame, sent, threshold: float) -> Da
             p, q = top(int(root[a[x]])), top(int(root[b[y]]))
             if p != q:
                 joined[p] = q
-                links.append((int(node[a[x]]), int(node[b[y]])))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
-
-
-def _pairs(state: DataFrame, chosen: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of a pivot and a node of another component that share a bucket and may reach the threshold."""
-    full = state.join(marks, "node")
-    columns = ["node", "root", "total", "bands", *OUTLINES]
-    mine = full.join(chosen, "node").select("bucket", *(F.col(c).alias(f"p_{c}") for c in columns))
-    other = full.select("bucket", *columns)
-    p = 15 / 16 * (1 - threshold)  # how often four bits of a sample differ
-    apart = F.lit(0)
-    for o in OUTLINES:
-        x = F.col(o).bitwiseXOR(F.col(f"p_{o}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        apart = apart + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
-    spread = (p * (1 - p) / wm.SAMPLES) ** 0.5  # samples agree or not each on its own
-    may = (F.least("total", "p_total") >= (threshold - 1e-9) * F.greatest("total", "p_total")) & (apart <= wm.SAMPLES * (p + SIGMAS * spread))
-    first = F.array_position(F.zip_with("bands", "p_bands", lambda x, y: x == y), F.lit(True)) == F.array_position("bands", mine["bucket"])
-    met = mine.join(other, (mine["bucket"] == other["bucket"]) & (F.col("root") != F.col("p_root")) & may & first)
-    return met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+                links.append((int(node[a[x]]), int(node[b[y]]), float(like[x, y])))
+        columns = list(zip(*links)) or [()] * 3
+        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "similarity": pa.array(columns[2], pa.float64())})
+
+    return rows.groupBy("bucket", "c", "d", "i", "j").applyInArrow(compare, LINK)
+
+
+def _pairs(state: DataFrame, chosen: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a pivot a, a node b) of different components that share a bucket and may reach the threshold by their sums of weights."""
+    full = state.join(chosen.withColumn("pivot", F.lit(True)), "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+    mine = full.where("pivot").select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("total").alias("a_total"))
+    other = full.select(F.col("bucket").alias("b_bucket"), F.col("node").alias("b"), "root", "total", "pivot")
+    may = F.least("total", "a_total") >= (threshold - MARGIN) * F.greatest("total", "a_total")
+    # two pivots meet once
+    met = mine.join(other, (F.col("bucket") == F.col("b_bucket")) & (F.col("root") != F.col("a_root")) & (~F.col("pivot") | (F.col("a") < F.col("b"))) & may)
+    return met.select("a", "b").distinct()

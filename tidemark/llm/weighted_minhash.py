@@ -1,10 +1,12 @@
 """Consistent samples of weighted shingles, and their weighted Jaccard similarity.
 
-A shingle of five words weighs its count in the document times its inverse document frequency.
-Document frequencies come from a count sketch of fixed size over all documents (two rows of
-counters; a shingle's frequency is the smaller of its two counters). Its error is a fixed share of
-the number of documents at any size, far below the share (a twentieth) up to which all frequencies count alike: only
-shingles of real boilerplate weigh less.
+A shingle of five words weighs its count in the document times its inverse document frequency,
+1 + ln(documents / frequency) / ln(documents): 2 for a shingle of one document, 1 for one of all, the same at any
+size for frequencies that are the same power of it. (With the plain logarithm a large group of near copies makes
+its own shingles so light that its few edits outweigh them, and falls apart.) Document frequencies come from a
+count sketch of fixed size over all documents: a shingle's is the smaller of its two counters. A counter is too
+high by the shingles that share it, on average all of them divided by WIDTH: with 500 a document, by one
+frequency in 2000 documents. All frequencies above that are told apart, and all of them exactly on small tables.
 
 Samples follow weights exactly, in all SAMPLES bins: each occurrence of a shingle in a document (its first, second, ...) has
 its own stream of random times, at a rate of the shingle's inverse document frequency, and each
@@ -23,9 +25,8 @@ from .ragged import U, Buffer, groups_of, mixed, shingles
 SIZE, SEED = 5, 0x5EED
 BANDS, BAND_SIZE = 24, 5
 SAMPLES = BANDS * BAND_SIZE
-OUTLINE = -(-SAMPLES // 16)
-#: Counters of a row of the sketch, rows, and the least frequency that is told apart, as a share of all documents.
-WIDTH, ROWS, LEAST_SHARE = 1 << 18, 2, 0.05
+#: Counters of a row of the sketch, and rows.
+WIDTH, ROWS = 1 << 20, 2
 DOC_BITS = 12
 GROUP_BYTES = 1_000_000
 #: Documents that are sampled at once.
@@ -52,8 +53,8 @@ class Frequencies:
     """Inverse document frequencies from the finished sketch."""
 
     def __init__(self, counters: np.ndarray, documents: int):
-        least = max(1.0, LEAST_SHARE * documents)
-        self.table = np.log1p(documents / np.maximum(counters, least)).astype(np.float32)
+        share = np.log(np.maximum(counters, 1.0)) / np.log(max(documents, 2))
+        self.table = np.maximum(2.0 - share, 1.0).astype(np.float32)
 
     def of(self, shingle: np.ndarray) -> np.ndarray:
         # the smaller counter has the larger inverse frequency
@@ -112,22 +113,15 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
     return key.view(np.int64) if key.flags["C_CONTIGUOUS"] else key.copy().view(np.int64)
 
 
-def outlines(sample: np.ndarray) -> np.ndarray:
-    """Four bits of each sample, 16 samples to a number, OUTLINE numbers per document."""
-    bits = np.zeros((len(sample), OUTLINE * 16), U)
-    bits[:, :SAMPLES] = sample & U(15)
-    return np.bitwise_or.reduce(bits.reshape(len(sample), OUTLINE, 16) << (U(4) * np.arange(16, dtype=U)), axis=2).view(np.int64)
-
-
 def signatures(texts: list[bytes], frequencies: Frequencies):
-    """(band keys, outlines, number of different shingles, sum of their weights) of the texts, group by group in order."""
+    """(band keys, number of different shingles, sum of their weights) of the texts, group by group in order."""
     for part in groups_of(texts, map(len, texts), GROUP_BYTES):
         for first in range(part.start, part.stop, SAMPLED):
             some = texts[first : min(part.stop, first + SAMPLED)]
             shingle, count, doc = document_shingles(some)
             weight = count * frequencies.of(shingle)
             sample = samples(shingle, weight, doc, len(some), count)
-            yield band_keys(sample), outlines(sample), np.bincount(doc, minlength=len(some)), np.bincount(doc, weights=weight, minlength=len(some))
+            yield band_keys(sample), np.bincount(doc, minlength=len(some)), np.bincount(doc, weights=weight, minlength=len(some))
 
 
 class Weights:
@@ -148,8 +142,8 @@ class Weights:
         return shared / (self.total + other.total - shared)
 
 
-def linked_across(left: list[Weights], right: list[Weights], threshold: float) -> np.ndarray:
-    """Whether each text of ``left`` is as like as the threshold to each of ``right``; exact, by products of matrices.
+def likenesses(left: list[Weights], right: list[Weights]) -> np.ndarray:
+    """The weighted Jaccard similarity of each text of ``left`` and each of ``right``; exact, by products of matrices.
 
     The smaller of two counts is the number of levels that both reach, so shared weight is a sum of
     products over levels; only shingles of both sides have columns, some at a time.
@@ -179,4 +173,4 @@ def linked_across(left: list[Weights], right: list[Weights], threshold: float) -
             shared += (a[:, live] * idf) @ b[:, live].T.astype(np.float64)
             level += 1
     total = np.array([w.total for w in left])[:, None] + np.array([w.total for w in right])[None, :] - shared
-    return shared >= (threshold - 1e-12) * np.maximum(total, 1e-300)
+    return shared / np.maximum(total, 1e-300)
