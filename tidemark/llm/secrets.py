@@ -2,9 +2,11 @@
 
 Three kinds of spans stand on their own: assignments of a secret word, access ids and long hex
 runs. Weak parts (names of an account, other long mixed strings, endpoints) mean little alone; a
-weak part is reported only if parts that complete it lie within ``scope`` code points: an
-identifier needs a secret, a secret an identifier, an endpoint both. The intervals are joined by a
-range frame over each text's parts, so no pairs are made.
+weak part is reported only if other parts complete it: an identifier needs a secret, a secret an
+identifier, an endpoint one of each. A part that completes another doesn't overlap it, lies at most
+``scope`` code points before its start or behind its end, and isn't the same value come again;
+identifiers and secrets that overlap each other count as one value. The intervals are joined by
+range frames over the ends of each text's parts, so no pairs are made.
 
 Each text is scanned where it is read; only the found parts (and one row per document) are
 shuffled. Defined results: a null text counts as empty; a null id stays null; repeated rows give
@@ -37,7 +39,7 @@ SCOPE = 400
 
 
 def _found(text: Column, kind: str) -> Column:
-    """All matches of a kind as (kind number, place, code points before it since the last match, its own, kept or not)."""
+    """All matches of a kind as (kind number, place, code points before it since the last match, its own, kept or not, hash of its value)."""
     pattern, group, least = KINDS[kind]
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -45,9 +47,9 @@ def _found(text: Column, kind: str) -> Column:
     number = list(KINDS).index(kind)
     rows = F.transform(
         F.filter(zipped, lambda x: x["all"].isNotNull()),
-        lambda x, i: F.struct(F.lit(number).alias("kind"), i.alias("place"), F.length(x["gap"]).alias("gap"), F.length(x["all"]).alias("size"), (F.length(x["part"]) >= least).alias("kept")),
+        lambda x, i: F.struct(F.lit(number).alias("kind"), i.alias("place"), F.length(x["gap"]).alias("gap"), F.length(x["all"]).alias("size"), (F.length(x["part"]) >= least).alias("kept"), F.xxhash64(x["part"]).alias("value")),
     )
-    return F.when(F.regexp_like(text, F.lit(pattern)), rows).otherwise(F.array().cast("array<struct<kind:int,place:int,gap:int,size:int,kept:boolean>>"))
+    return F.when(F.regexp_like(text, F.lit(pattern)), rows).otherwise(F.array().cast("array<struct<kind:int,place:int,gap:int,size:int,kept:boolean,value:bigint>>"))
 
 
 def secret_parts(rows: DataFrame, key: str, carry: list[str], text_col: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -63,17 +65,37 @@ def secret_parts(rows: DataFrame, key: str, carry: list[str], text_col: str = "t
     # parts that are too short leave a row without a span, so that no document is lost
     placed = placed.withColumn("kind", F.when(F.col("kept"), F.col("kind")))
     numbers = {k: i for i, k in enumerate(KINDS)}
-    near = Window.partitionBy(key).orderBy("start").rangeBetween(-scope, scope)
-    role = {r: F.max(F.col("kind").isin([numbers[k] for k in kinds]).cast("int")).over(near) == 1 for r, kinds in ROLES.items()}
+    of_role = {r: F.col("kind").isin([numbers[k] for k in kinds]) for r, kinds in ROLES.items()}
     before = Window.partitionBy(key).orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
     base = F.col("kind") < len(BASE)
-    covered = F.coalesce(F.max(F.when(base, F.col("end"))).over(before), F.lit(-1)) > F.col("start")
-    linked = placed.withColumn("_id", role["identifier"]).withColumn("_secret", role["secret"]).withColumn("_covered", covered)
-    complete = F.when(F.col("kind") == numbers["weak_id"], F.col("_secret")).when(F.col("kind") == numbers["weak_secret"], F.col("_id")).otherwise(F.col("_id") & F.col("_secret"))
-    told = F.col("kind").isNull() | base | (~F.col("_covered") & complete)
-    blank = F.when(told, F.col("kind"))
-    # and so do weak parts that aren't reported
-    return linked.select(key, *carry, blank.alias("kind"), F.when(told, F.col("start")).alias("start"), F.when(told, F.col("end")).alias("end"))
+    # identifiers and secrets that overlap get the value of the first of them
+    valued = of_role["identifier"] | of_role["secret"]
+    reach = F.max(F.when(valued, F.col("end"))).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.withColumn("_covered", F.coalesce(F.max(F.when(base, F.col("end"))).over(before), F.lit(-1)) > F.col("start"))
+    placed = placed.withColumn("_new", F.when(valued & (reach.isNull() | (F.col("start") >= reach)), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(before))
+    same = Window.partitionBy(key, "_run").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.first(F.when(valued, F.col("value")), ignorenulls=True).over(same)
+    placed = placed.withColumn("value", F.when(valued, first).otherwise(F.col("value")))
+    # each part is found by its end from what follows it and by its start from what it follows, and asks at its start and at its end
+    found_end, asks_back, found_start, asks_on = range(4)
+    events = F.array(*(F.struct(F.col(at).alias("at"), F.lit(what).alias("what")) for at, what in (("end", found_end), ("start", asks_back), ("start", found_start), ("end", asks_on))))
+    events = F.when(F.col("kind").isNotNull(), events).otherwise(F.slice(events, 1, 1))
+    met = placed.withColumn("_e", F.explode(events)).withColumn("_at", F.col("_e.at")).withColumn("_what", F.col("_e.what")).drop("_e")
+    around = {asks_back: (found_end, Window.partitionBy(key).orderBy("_at").rangeBetween(-scope, 0)), asks_on: (found_start, Window.partitionBy(key).orderBy("_at").rangeBetween(0, scope))}
+    ends = {"low": F.min, "high": F.max}
+    for asks, (found, frame) in around.items():
+        for r in ("identifier", "secret"):
+            for n, f in ends.items():
+                met = met.withColumn(f"_{r}_{n}_{asks}", f(F.when((F.col("_what") == found) & of_role[r], F.col("value"))).over(frame))
+    told = [f(F.when(F.col("_what") == asks_back, F.col(f"_{r}_{n}_{asks_back}")).when(F.col("_what") == asks_on, F.col(f"_{r}_{n}_{asks_on}"))).alias(f"_{r}_{n}") for r in ("identifier", "secret") for n, f in ends.items()]
+    parts = met.groupBy(key, *carry, "kind", "start", "end", "value", "_covered").agg(*told)
+    # of all values around, the least or the highest is another one than its own if any is
+    another = {r: F.coalesce(F.col(f"_{r}_low") != F.col("value"), F.lit(False)) | F.coalesce(F.col(f"_{r}_high") != F.col("value"), F.lit(False)) for r in ("identifier", "secret")}
+    two = F.least("_identifier_low", "_secret_low") != F.greatest("_identifier_high", "_secret_high")
+    complete = F.when(F.col("kind") == numbers["weak_id"], another["secret"]).when(F.col("kind") == numbers["weak_secret"], another["identifier"]).otherwise(another["identifier"] & another["secret"] & two)
+    reported = F.col("kind").isNull() | base | (~F.col("_covered") & complete)
+    # weak parts that aren't reported leave a row without a span too
+    return parts.select(key, *carry, F.when(reported, F.col("kind")).alias("kind"), F.when(reported, F.col("start")).alias("start"), F.when(reported, F.col("end")).alias("end"))
 
 
 def _listed(spans: Column) -> Column:
