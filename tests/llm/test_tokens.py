@@ -1,6 +1,7 @@
 """Token counts, packing and piece coding against the libraries."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -107,13 +108,46 @@ def test_plans_pack_everything(lengths):
     assert sum(t for _, t in packs) <= max(fewest, int(1.5 * fewest) + 1)
 
 
-def test_exact_fill():
-    counts = np.zeros(33, int)
-    counts[[3, 5, 7]] = [1, 2, 1]
-    assert packing.exact_fill(counts, 7, 32) == [7]
-    assert packing.exact_fill(counts, 10, 32) in ([7, 3], [5, 5])
-    assert sorted(packing.exact_fill(counts, 13, 32)) == [3, 5, 5]
-    assert packing.exact_fill(counts, 9, 32) is None and packing.exact_fill(counts, 6, 32) is None
+def plain_fill(counts, gap, top):
+    """One, two or three lengths of at most ``top``, tried one after the other, the longest first."""
+    for n in (1, 2, 3):
+        for pick in itertools.combinations_with_replacement(range(min(top, gap), 0, -1), n):
+            if sum(pick) == gap and all(counts[x] >= pick.count(x) for x in pick):
+                return list(pick)
+    return None
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 24), max_size=14), st.lists(st.tuples(st.integers(1, 24), st.integers(1, 24)), max_size=12))
+def test_exact_fill(lengths, gaps):
+    counts = np.bincount(lengths, minlength=25)
+    index = packing.SumIndex(counts)
+    for gap, top in gaps:
+        found = index.fill(gap, top)
+        assert found == plain_fill(counts, gap, top)
+        for x in found or []:  # taken away, as a plan does
+            counts[x] -= 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 24), max_size=40))
+def test_plans_against_a_plain_one(lengths):
+    counts, want = np.bincount(lengths, minlength=25), []
+    left = counts.copy()
+    want += [[24]] * left[24]
+    left[24] = 0
+    for n in range(23, 0, -1):
+        while left[n]:
+            left[n] -= 1
+            found = plain_fill(left, 24 - n, min(n, 24 - n))
+            if found is None:
+                left[n] += 1
+                break
+            for x in found:
+                left[x] -= 1
+            want.append([n, *found])
+    packs = [p for pack, times in packing.plan_packs(counts, 24) for p in [pack] * times]
+    assert Counter(map(tuple, want)) - Counter(map(tuple, packs)) == Counter()
 
 
 def test_pack_query(spark, odd, none, library):

@@ -2,7 +2,8 @@
 
 Documents become token ids with an end id. Longer ones are cut into pieces of the sequence length.
 The driver sees only how many pieces there are of each length, at most as many numbers as a
-sequence has tokens. From the longest piece down, the gap beside it is filled exactly by one
+sequence has tokens. Sums of one, two and three lengths are indexed by their value. From the longest
+piece down, the gap beside it is looked up there and filled exactly by one
 length, else by a pair, else by three lengths, as often as all of them are available; what is left
 over goes best fit. Pieces of one length are exchangeable, so the plan is a short list of runs of
 piece numbers, and the pieces find their places by a join on length and number.
@@ -24,33 +25,60 @@ from pyspark.sql import types as T
 
 from . import vocabulary
 from .balanced import BalancedTree
-from .common import gapless, tokenizer_path, workers_can_import, written
+from .common import gapless, released, tokenizer_path, workers_can_import, written
 
 
-def exact_fill(counts, gap: int, top: int):
-    """Lengths of at most ``top`` that sum to ``gap``: one, a pair or three of them, longest first; None if there are none.
+class SumIndex:
+    """Single, pair and triple sums of the lengths of which there are pieces, by their sum.
 
-    ``counts[n]`` pieces of length n are available; a length is named no more often than that.
+    Pairs (x, y) with x >= y lie in one array by sum, the longest x first; so do triples, as their
+    longest length and the sum of the other two, if that is in the index of pairs. ``counts`` is shared
+    with whoever takes pieces away: entries whose pieces are used up are passed over, and for good at
+    the head of a sum, as pieces never come back.
     """
-    if gap <= top and counts[gap]:
-        return [gap]
-
-    def pair(total: int, most: int, taken: int = 0):
-        have = counts.copy() if taken else counts
-        if taken:
-            have[taken] -= 1
-        x = np.arange(min(most, total - 1), (total + 1) // 2 - 1, -1)
-        if not len(x):
-            return None
-        ok = (have[x] > 0) & (have[total - x] > (x * 2 == total))
-        return [int(x[i := ok.argmax()]), int(total - x[i])] if ok.any() else None
-
-    if found := pair(gap, min(top, gap - 1)):
-        return found
-    for x in range(min(top, gap - 2), (gap + 2) // 3 - 1, -1):
-        if counts[x] and (found := pair(gap - x, min(x, gap - x - 1), x)):
-            return [x, *found]
-    return None
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        size = len(counts) - 1
+        lengths = np.flatnonzero(counts[1:])[::-1] + 1  # the longest first
+        pairs = [(x + (y := lengths[(lengths <= x) & (lengths <= size - x)]), np.full(len(y), x)) for x in lengths]
+        self.pair_at, self.pair_x = self._by_sum(pairs, size)
+        sums = np.flatnonzero(np.diff(self.pair_at))  # that some pair has
+        triples = [(x + (y := sums[(sums <= 2 * x) & (sums <= size - x)]), np.full(len(y), x)) for x in lengths]
+        self.triple_at, self.triple_x = self._by_sum(triples, size)
+        self.pair_head, self.triple_head = self.pair_at[:-1].copy(), self.triple_at[:-1].copy()
+
+    @staticmethod
+    def _by_sum(found, size: int):
+        total = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+        x = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+        order = np.argsort(total, kind="stable")  # x falls within a sum
+        return np.r_[0, np.cumsum(np.bincount(total, minlength=size + 1))], x[order]
+
+    def pair(self, total: int, top: int, taken: int = 0):
+        """The pair with this sum and the longest first length up to ``top``; one piece of length ``taken`` is spoken for."""
+        at, end, counts = self.pair_head[total], self.pair_at[total + 1], self.counts
+        x = self.pair_x[at:end]
+        y = total - x
+        gone = (counts[x] == 0) | (counts[y] == 0)
+        ok = ~gone & (x <= top) & (counts[x] - (x == taken) > (x == y)) & (counts[y] - (y == taken) > 0)
+        self.pair_head[total] = at + (int(gone.argmin()) if not gone.all() else len(x))
+        return [int(x[k := ok.argmax()]), int(y[k])] if ok.any() else None
+
+    def fill(self, gap: int, top: int):
+        """Lengths of at most ``top`` that sum to ``gap``: one, else a pair, else three of them, longest first; None if there are none."""
+        if gap <= top and self.counts[gap]:
+            return [gap]
+        if found := self.pair(gap, top):
+            return found
+        at, end = self.triple_head[gap], self.triple_at[gap + 1]
+        for k in range(at, end):
+            x = int(self.triple_x[k])
+            if not self.counts[x]:
+                self.triple_head[gap] += k == self.triple_head[gap]
+            elif x <= top and (found := self.pair(gap - x, x, x)):
+                return [x, *found]
+        return None
 
 
 def plan_packs(counts, size: int):
@@ -60,10 +88,11 @@ def plan_packs(counts, size: int):
     if counts[size]:
         packs.append(([size], int(counts[size])))
         counts[size] = 0
+    index = SumIndex(counts)
     for n in range(size - 1, 0, -1):
         while counts[n]:
-            counts[n] -= 1
-            found = exact_fill(counts, size - n, min(n, size - n))
+            counts[n] -= 1  # the piece itself; if it was the last one, no combination of its length is found any more
+            found = index.fill(size - n, min(n, size - n))
             counts[n] += 1
             if found is None:
                 break
@@ -134,7 +163,7 @@ def token_pieces(docs: DataFrame, size: int = 2048, tokenizer: str = "word_bpe_4
 
     def run(batches):
         ids = vocabulary.ids(tokenizer_path(tokenizer))
-        for batch in batches:
+        for batch in released(batches):
             keys, rows = batch.column(0), ([], [], [], [], [], [])
             for k, x in enumerate(ids.encoded(t.as_py() or "" for t in batch.column(1))):
                 x += end
