@@ -274,6 +274,20 @@ def test_repeats_against_brute_force(spark, docs, seed):
             assert hashlib.sha256(left[i].encode()).hexdigest() == digest
 
 
+def test_texts_longer_than_a_chunk(spark, docs, monkeypatch):
+    from tidemark.llm import repeats
+
+    monkeypatch.setattr(repeats, "CHUNK", 300)  # a text of many chunks has the anchors that it has as a whole
+    r = random.Random(5)
+    texts = [words(r, 400).encode(), b"short", ("é" * 700).encode(), b"", words(r, 90).encode(), b"z" * 1500]
+    buffer = Buffer(texts)
+    got = repeats.anchors(buffer)
+    monkeypatch.setattr(repeats, "CHUNK", 1 << 20)
+    for x, y in zip(got, repeats.anchors(buffer)):
+        assert (x == y).all()
+    assert len(repeats.anchors(Buffer([b"", b"x"])).doc) == 0
+
+
 def test_repeat_edges(spark, odd, none):
     got = count_repeats(odd)
     want = brute([t for _, t in ODD])

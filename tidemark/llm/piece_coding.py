@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import tokenizer_path, workers_can_import
+from .common import released, tokenizer_path, workers_can_import
 
 TYPES = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "spans_crc32": pa.int64(), "ids": pa.list_(pa.int32()), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "decoded": pa.string()}
 DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32")
@@ -45,7 +45,7 @@ def encode_documents(docs: DataFrame, outputs=("ids", "starts", "ends", "decoded
 
     def run(batches):
         model = pieces.model(tokenizer_path(tokenizer))
-        for batch in batches:
+        for batch in released(batches):
             columns = list(zip(*(row(model, t.as_py() or "") for t in batch.column(1)))) or [()] * len(outputs)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, TYPES[o]) for o, c in zip(outputs, columns))], names=[id_col, *outputs])
 

@@ -56,9 +56,13 @@ class Buffer:
         self.starts = np.cumsum(self.lengths + 1) - (self.lengths + 1)
 
     def prefix(self, seed: int) -> np.ndarray:
-        """Running sums for window hashes, from 0 to the whole."""
-        up, _ = POWERS.of(len(self.data) + 1)
-        return np.r_[U(0), np.cumsum(byte_numbers(seed)[self.data] * up[: len(self.data)])]
+        return prefix_of(self.data, seed)
+
+
+def prefix_of(data: np.ndarray, seed: int) -> np.ndarray:
+    """Running sums for window hashes, from 0 to the whole; a window's hash doesn't depend on where the data begin."""
+    up, _ = POWERS.of(len(data) + 1)
+    return np.r_[U(0), np.cumsum(byte_numbers(seed)[data] * up[: len(data)])]
 
 
 def window_hash(prefix: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-from .ragged import U, Buffer, mixed, window_hash
+from .ragged import U, Buffer, mixed, prefix_of, window_hash
 
 LENGTH, GRAM = 200, 64
 CHOICES = LENGTH - GRAM + 1
@@ -20,7 +20,8 @@ LEFT = LENGTH - GRAM
 #: A window of LENGTH bytes has so many bytes before or behind its gram.
 HALF = LEFT // 2
 GRAM_SEED, WINDOW_SEED = 0xA11CE, 0xB0B5
-PLACE_BITS = 28
+#: Places that are worked on at once, and the bits of a hash that give way to a place among them and CHOICES more.
+CHUNK, PLACE_BITS = 1 << 20, 21
 GROUP_BYTES = 2_000_000
 
 
@@ -36,36 +37,53 @@ class Anchors(NamedTuple):
 
 
 def anchors(buffer: Buffer) -> Anchors:
-    """All anchors of all texts of a buffer, in order; texts shorter than LENGTH have none."""
-    n = len(buffer.data)
+    """All anchors of all texts of a buffer, in order; texts shorter than LENGTH have none. A text may have any length."""
     ends = buffer.starts + buffer.lengths
     runs = np.maximum(buffer.lengths - LENGTH + 1, 0)
     none = np.zeros(0, np.int64)
-    if not runs.any():
-        return Anchors(none, none, none, none, *[none.astype(U)] * 4)
-    if n >> PLACE_BITS:
-        raise ValueError("a text is too long to be worked on at once")
-    prefix = buffer.prefix(GRAM_SEED)
-    at = np.arange(n - GRAM + 1)
+    parts = [Anchors(none, none, none, none, *[none.astype(U)] * 4)]
+    for place in range(0, len(buffer.data), CHUNK):
+        low = np.maximum(buffer.starts, place)
+        many = np.maximum(np.minimum(buffer.starts + runs, place + CHUNK) - low, 0)
+        doc = np.repeat(np.arange(len(runs)), many)
+        if not len(doc):
+            continue
+        window = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + low[doc]
+        part = _anchors_of(buffer, ends, doc, window)
+        last = parts[-1]
+        if len(last.doc) and last.place[-1] == part.place[0] and last.doc[-1] == part.doc[0]:  # one anchor, parted by the end of a chunk
+            last.last[-1] = part.last[0]
+            part = Anchors(*(x[1:] for x in part))
+        parts.append(part)
+    return Anchors(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def _anchors_of(buffer: Buffer, ends: np.ndarray, owner: np.ndarray, window: np.ndarray) -> Anchors:
+    """The anchors of some windows (places in the buffer, in order) of texts ``owner``."""
+    origin = max(0, int(window[0]) - LEFT)
+    data = buffer.data[origin : int(window[-1]) + CHOICES + LENGTH]
+    prefix = prefix_of(data, GRAM_SEED)
+    here = window - origin
+    at = np.arange(here[0], here[-1] + CHOICES)
     gram = window_hash(prefix, at, at + GRAM)
-    least = (gram & U(2**64 - (1 << PLACE_BITS))) | at.astype(U)
+    low = U((1 << PLACE_BITS) - 1)
+    least = (gram & ~low) | np.arange(len(at), dtype=U)
     reach = 1
     while reach * 2 <= CHOICES:
         least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
     if reach < CHOICES:
         least = np.minimum(least[: len(least) - (CHOICES - reach)], least[CHOICES - reach :])
-    owner = np.repeat(np.arange(len(runs)), runs)
-    window = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs) + buffer.starts[owner]
-    pick = (least[window] & U((1 << PLACE_BITS) - 1)).astype(np.int64)
+    pick = (least[here - here[0]] & low).astype(np.int64) + window[0]
     change = np.flatnonzero(np.r_[True, (pick[1:] != pick[:-1]) | (owner[1:] != owner[:-1])])
     stop = np.r_[change[1:], len(pick)] - 1
     doc, place = owner[change], pick[change]
     left, right = np.minimum(place - buffer.starts[doc], LEFT), np.minimum(ends[doc] - place, LENGTH)
-    around = window_hash(prefix, place - left, place + right)
-    before = window_hash(prefix, place - np.minimum(left, HALF), place + GRAM)
-    behind = window_hash(prefix, place, place + np.minimum(right, GRAM + HALF))
-    return Anchors(doc, place, window[change], window[stop], gram[place], mixed(around ^ (left * 1024 + right).astype(U)), before, behind)
+    spot = place - origin
+    around = window_hash(prefix, spot - left, spot + right)
+    before = window_hash(prefix, spot - np.minimum(left, HALF), spot + GRAM)
+    behind = window_hash(prefix, spot, spot + np.minimum(right, GRAM + HALF))
+    return Anchors(doc, place, window[change], window[stop], gram[place - window[0]], mixed(around ^ (left * 1024 + right).astype(U)), before, behind)
 
 
 def expanded(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

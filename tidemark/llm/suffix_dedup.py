@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repeats as rp
-from .common import digest128, text_or_empty, workers_can_import, written
+from .common import digest128, released, text_or_empty, workers_can_import, written
 from .ragged import Buffer, U, groups_of, mixed, window_hash
 
 LOWEST = -(2**63)
 ANCHOR = ["place", "first", "last", "gram", "context", "before", "behind"]
-#: Bits of a place in a packed range; the lowest bit tells that it is settled.
-PLACE = 30
+#: Bits of a place in a packed range, as many as a length has in Spark; the lowest bit of a sent range tells that it is settled.
+PLACE = 31
 
 
 def text_key(text: Column) -> Column:
@@ -44,7 +44,7 @@ def text_key(text: Column) -> Column:
 
 def _parts(batches, text_column: int):
     """(texts, the batch's rows) of groups of bounded size."""
-    for batch in batches:
+    for batch in released(batches):
         texts = [x.as_py() or b"" for x in batch.column(text_column)]
         for part in groups_of(texts, map(len, texts), rp.GROUP_BYTES):
             yield texts[part], batch.slice(part.start, part.stop - part.start)
@@ -145,7 +145,7 @@ def _cut(texts: DataFrame, with_text: bool) -> DataFrame:
     """Per text (key, text, packed ranges): bytes and runs removed, and the digest (and text) of what is left."""
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             out = []
             for text, ranges in zip(batch.column(1), batch.column(2)):
                 raw = text.as_py()
@@ -169,14 +169,14 @@ def _repeats(plain: DataFrame, rows: DataFrame, with_text: bool) -> DataFrame:
     marked = written(_marked(long.join(wanted, ["key", "id"]).select("key", "text", "grams")), "marked")
     each = marked.select("key", F.explode(F.arrays_zip(*ANCHOR)).alias("x")).select("key", "x.*")
     alike = written(each.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("least"), F.min("before").alias("before"), F.min("behind").alias("behind")), "alike")
-    kinds = alike.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    many = alike.join(kinds, "gram")
+    # written, as are the other tables that are joined by a gram, so that both sides are dealt anew and Spark can split a hot one
+    kinds = written(alike.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("gram"), "kinds")
+    many = written(alike.join(kinds, "gram").select("gram", "context", "before", "behind"), "many")
     # other contexts that go on alike before, or behind: else no window that reaches so far can repeat
-    before = many.groupBy("gram", "before").agg((F.count(F.lit(1)) > 1).alias("reach_before"))
-    behind = many.groupBy("gram", "behind").agg((F.count(F.lit(1)) > 1).alias("reach_behind"))
+    before = written(many.groupBy("gram", "before").agg((F.count(F.lit(1)) > 1).alias("reach_before")), "before")
+    behind = written(many.groupBy("gram", "behind").agg((F.count(F.lit(1)) > 1).alias("reach_behind")), "behind")
     partly = many.join(before, ["gram", "before"]).join(behind, ["gram", "behind"]).where("reach_before or reach_behind")
     flags = alike.join(partly.select("gram", "context", "reach_before", "reach_behind"), ["gram", "context"], "left").where((F.col("n") > 1) | F.col("reach_before").isNotNull())
-    # written, so that both sides of the next join are dealt anew and Spark can split a hot context
     flags = written(flags.select("gram", "context", "n", "least", "reach_before", "reach_behind"), "flags")
     judged = each.drop("before", "behind").join(flags, ["gram", "context"])
     whole = F.col("n") > 1

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary
-from .common import tokenizer_path, workers_can_import
+from .common import released, tokenizer_path, workers_can_import
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,7 +20,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
 
     def run(batches):
         counter = vocabulary.counter(tokenizer_path(tokenizer))
-        for batch in batches:
+        for batch in released(batches):
             texts = batch.column(1)
             sizes = pa.compute.binary_length(texts)
             counts = list(counter.counts(x.as_py() or "" for x in texts))
