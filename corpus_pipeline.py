@@ -43,8 +43,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids, packed into sequences."""
-    return pack_documents(docs)
+    """Pieces with their token ids, packed into sequences."""
+    return pack_documents(docs, with_ids=True)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("secrets", secrets), ("packing", packing)]
