@@ -301,7 +301,7 @@ def test_pipeline(spark, odd, none):
     assert seen[0] < 200 and seen[1] < seen[0] and seen[1] == seen[2] == seen[3] <= seen[4]
     run = corpus_pipeline.run(spark, DATA)
     pieces = Counter((r.doc_id, r.piece, r.ids_crc32) for r in run.collect())
-    assert pieces == Counter((r.doc_id, r.piece, r.ids_crc32) for r in docs.collect())
+    assert all(r.length == len(r.ids) for r in run.collect()) and pieces == Counter((r.doc_id, r.piece, r.ids_crc32) for r in docs.collect())
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, DATA).count() >= 8 and stage(spark, none, DATA).count() == 0
 
