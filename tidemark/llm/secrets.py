@@ -30,7 +30,7 @@ BASE = {
 #: Weak kinds: pattern, group whose length counts, least length.
 WEAK = {
     "weak_id": (r"(?:\b(?i:access_?key_?id|access_?key|client_?id|account|login|username|user)" + VALUE + r"|\bA[A-Z]IA)([A-Za-z0-9@+/_.-]+)", 1, 4),
-    "weak_secret": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])([A-Za-z0-9+/_-]{32,})=*", 1, 32),
+    "weak_secret": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{32})(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])([A-Za-z0-9+/_-]{32,})=*", 1, 32),
     "weak_endpoint": (r"(?:(?i:https?|postgres|postgresql|mysql|redis|mongodb|amqp|s3)://|\b(?i:host|endpoint|server)" + VALUE + r""")([^\s"'<>,;]+)""", 1, 4),
 }
 KINDS = {**BASE, **WEAK}
@@ -121,14 +121,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span replaced by ``mark``; overlapping spans are replaced together. Other columns stay.
 
-    Texts without any part aren't moved; those with one are written first, so that their rows can be
-    numbered. ``docs`` must give the same rows each time it is read, as a table does.
+    The table is written once with a mark on each row whose text has any part, so that texts are
+    scanned once for that; only those rows are dealt out.
     """
     text = text_or_empty(text_col)
     any_part = F.lit(False)
     for pattern, _, _ in KINDS.values():
         any_part = any_part | F.regexp_like(text, F.lit(pattern))
-    rows = docs.withColumn("_tm_any", any_part)
+    rows = written(docs.withColumn("_tm_any", any_part), "scanned")
     touched = written(rows.where("_tm_any"), "touched").withColumn("_tm_row", F.monotonically_increasing_id())
     parts = secret_parts(touched.select("_tm_row", F.col(text_col).alias("text")), "_tm_row", [], "text", scope).where(F.col("kind").isNotNull())
     reach = Window.partitionBy("_tm_row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
