@@ -9,7 +9,7 @@ import uuid
 from functools import lru_cache
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
@@ -62,6 +62,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_and_seen(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``written``, and aggregates of its rows (their number is ``n``) that the job of the writing itself works out."""
+    seen = Observation()
+    df = written(df.observe(seen, F.count(F.lit(1)).alias("n"), *(m.alias(k) for k, m in measures.items())), name)
+    return df, seen.get
+
+
 def _tables(spark: SparkSession) -> list[str]:
     """Paths of the tables that this session has written and not yet dropped."""
     context = spark.sparkContext

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import weighted_minhash as wm
-from .common import among, digest128, released, text_or_empty, workers_can_import, written
+from .common import among, digest128, released, text_or_empty, workers_can_import, written, written_and_seen
 from .links import components
 
 SLICES = 16
@@ -136,21 +136,21 @@ def classified(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     buckets = bands.select("node", "total", F.explode("bands").alias("bucket"))
     shared = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
     open_ = written(buckets.join(shared, "bucket"), "buckets")  # members of buckets that aren't done
-    candidates = written(bands.select("node", "digest").join(open_.select("node").distinct(), "node"), "candidates")
-    texts = written(_texts(plain, candidates), "texts")
+    candidates, seen = written_and_seen(bands.select("node", "digest").join(open_.select("node").distinct(), "node"), "candidates")
+    texts = written(_texts(plain, candidates, seen["n"]), "texts")
     state = open_.withColumn("root", F.col("node"))  # members that were never pivots
-    first = written(_pivots(state, VERY_LARGE), "pivots")
+    first, seen = written_and_seen(_pivots(state, VERY_LARGE), "pivots")
     links, roots = spark.createDataFrame([], LINK), spark.createDataFrame([], "node long, root long")
 
     def joined(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         new = written(found, "links")
         return links.unionByName(new), components(new.select("a", "b").unionByName(_as_links(roots)))
 
-    if not first.isEmpty():
+    if seen["n"]:
         links, roots = joined(similar(_pairs(state, first, threshold), texts, sent, threshold))
         state = _undone(state, first, roots)
-    large = written(state.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LARGE).select("bucket"), "large")
-    if not large.isEmpty():
+    large, seen = written_and_seen(state.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LARGE).select("bucket"), "large")
+    if seen["n"]:
         links, roots = joined(_in_blocks(written(state.join(large, "bucket"), "open"), texts, sent, threshold))
         state = _undone(state.join(large, "bucket", "left_anti"), first, roots)
     links, roots = joined(similar(_pairs(state, written(_outsiders(state), "pivots"), threshold), texts, sent, threshold))
@@ -188,10 +188,10 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str =
     return named.join(wanted, ["_tm_key", "_tm_digest"], "left_semi").withColumn("_tm_place", F.row_number().over(one)).where("_tm_place = 1").select(*docs.columns)
 
 
-def _texts(plain: DataFrame, rows: DataFrame) -> DataFrame:
-    """The text of each node of ``rows`` (node, digest): that of a row whose id the node has and whose digest is the node's."""
+def _texts(plain: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The text of each node of the ``n`` ``rows`` (node, digest): that of a row whose id the node has and whose digest is the node's."""
     keyed = plain.withColumn("digest", digest128(F.col("text")))
-    held = among(keyed, F.col("digest"), rows.select("digest"), rows.count()).withColumn("node", _node_of(F.col("id"), F.col("digest")))
+    held = among(keyed, F.col("digest"), rows.select("digest"), n).withColumn("node", _node_of(F.col("id"), F.col("digest")))
     return held.join(rows, ["node", "digest"]).groupBy("node", "digest").agg(F.first("text").alias("text")).select("node", "text")
 
 
