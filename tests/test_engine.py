@@ -451,3 +451,47 @@ def test_time_windows(spark):
     assert tumbling(df, "ts", "30 minutes", {"n": agg.count()}).agg(F.sum("n")).first()[0] == 10
     assert session_windows(df, "ts", "10 minutes", {"n": agg.count()}).count() == 1
     assert session_windows(df, "ts", "9 minutes", {"n": agg.count()}).count() == 10
+
+
+def test_numbers_that_do_not_fit_a_record_are_refused():
+    from tidemark.sources import page_file
+
+    def rows(key, a):
+        return np.rec.fromarrays([np.array([key]), np.array([a]), np.array([0]), np.array([0])], names="key,a,b,c")
+
+    assert page_file.unpacked(page_file.packed(rows(2**32 - 1, -(2**31))))["key"][0] == 2**32 - 1
+    for key, a in ((2**32 + 5, 0), (0, 2**31 + 1), (-1, 0)):
+        with pytest.raises(ValueError):
+            page_file.packed(rows(key, a))
+    page = bytearray(page_file.packed(rows(1, 1)))
+    page[page_file.COUNT_AT] = page_file.PER_PAGE + 1
+    with pytest.raises(ValueError):
+        page_file.unpacked(bytes(page))
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 2**58), st.integers(1, 2**26)), min_size=2, max_size=30), st.randoms())
+def test_estimates_of_wide_keys(spark, steps, r):
+    from tidemark.operators import spline
+
+    index, key, page, pages_ = spline.Spline(), 0, 0, []
+    for k, p in steps:
+        index.add(key, page)
+        pages_.append(key)
+        key, page = key + k, page + p
+    asked = [*pages_, *(r.randint(0, pages_[-1]) for _ in range(5)), pages_[-1] + 7]
+    got = spline.estimated(spark.createDataFrame([(k,) for k in asked], "key long"), "key", index).collect()
+    assert [(g["loc"], g["low"], g["high"]) for g in got] == [index.find(k) for k in asked]
+
+
+def test_a_new_stream_starts_from_what_is_stored(spark, tmp_path):
+    from tidemark.streaming import ingest as streaming
+
+    out = str(tmp_path / "out")
+    for number, keys in enumerate(([1, 5, 9], [4, 9, 10, 12])):
+        source = str(tmp_path / f"in{number}")
+        spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "n long, k long").coalesce(1).write.parquet(source)
+        stream = spark.readStream.schema("n long, k long").parquet(source)
+        streaming.guarded_append(stream, out, "k", "n", str(tmp_path / f"mark{number}")).awaitTermination()
+    rows = spark.read.schema("n long, k long").option("recursiveFileLookup", "true").parquet(out)
+    assert sorted(r.k for r in rows.collect()) == [1, 5, 9, 10, 12]

@@ -7,6 +7,7 @@ sum over data pages.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,46 +15,39 @@ from pyspark.sql import functions as F
 from .ordered import Ordered
 from .retention import first_live_page, first_reopened_page
 
+#: Stands for no value, and for no row where a data page has fewer than others.
+NO_ROW = -1
 
-def layout(lengths, page_size: int, header: int) -> list[tuple[int, int]]:
-    """(first, last) blob page of each value of one data page; a negative length is no value.
 
-    A value is a four-byte length and its bytes. It may run on over pages; its length may not.
+def layouts(lengths: np.ndarray, page_size: int, header: int):
+    """(first, last) blob page of each value of many data pages, and the blob pages that each takes once the next one begins.
+
+    ``lengths`` has a row for each data page; negative ones are no values. A value is a four-byte length
+    and its bytes. It may run on over pages; its length may not. All data pages are worked on at once, value by value.
     """
-    page, at, out = 0, header, []
-    for n in lengths:
-        if at > page_size - 4:
-            page, at = page + 1, header
-        if n < 0:
-            out.append((page, page))
-            continue
-        first = page
-        for part in (4, n):
-            while part > 0:
-                some = min(part, page_size - at)
-                at, part = at + some, part - some
-                if at == page_size:
-                    page, at = page + 1, header
+    room = page_size - header
+    page, at = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)  # ``at`` is counted from the header's end
+    first, last = np.zeros(lengths.shape, np.int64), np.zeros(lengths.shape, np.int64)
+    for k in range(lengths.shape[1]):
+        n = lengths[:, k]
+        full = at > room - 4
+        page, at = page + full, np.where(full, 0, at)
+        first[:, k] = page
+        end = np.where(n < 0, at, at + 4 + n)
+        page, at = page + end // room, end % room
         # a value that ends with its page has no bytes on the next one
-        out.append((first, page - 1 if at == header and page > first else page))
-    return out
+        last[:, k] = np.where((n >= 0) & (at == 0) & (page > first[:, k]), page - 1, page)
+    return first, last, page + (at > 0)
+
+
+def layout(lengths, page_size: int, header: int) -> list[tuple[int, int]]:
+    """``layouts`` of one data page."""
+    first, last, _ = layouts(np.asarray(lengths, np.int64).reshape(1, -1), page_size, header)
+    return list(zip(first[0].tolist(), last[0].tolist()))
 
 
 def pages_used(lengths, page_size: int, header: int) -> int:
-    """Blob pages that a full data page's values take once the next data page begins."""
-    page, at = 0, header
-    for n in lengths:
-        if at > page_size - 4:
-            page, at = page + 1, header
-        if n < 0:
-            continue
-        for part in (4, n):
-            while part > 0:
-                some = min(part, page_size - at)
-                at, part = at + some, part - some
-                if at == page_size:
-                    page, at = page + 1, header
-    return page + (at > header)
+    return int(layouts(np.asarray(lengths, np.int64).reshape(1, -1), page_size, header)[2][0])
 
 
 def blob_pages(paged: DataFrame, key: str, length: str, page_size: int, header: int, page: str = "page_id", pages_per_task: int = 512) -> DataFrame:
@@ -61,11 +55,17 @@ def blob_pages(paged: DataFrame, key: str, length: str, page_size: int, header:
     rows = paged.select(F.col(key).cast("long").alias("k"), F.col(page).cast("long").alias("p"), F.coalesce(F.col(length), F.lit(-1)).cast("long").alias("n"), F.expr(f"`{page}` div {pages_per_task}").alias("_task"))
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for p, own in rows.sort_values(["p", "k"]).groupby("p", sort=True):
-            spots = layout(own["n"].tolist(), page_size, header)
-            out.append(pd.DataFrame({"k": own["k"].to_numpy(), "p": p, "a": [s[0] for s in spots], "b": [s[1] for s in spots], "used": pages_used(own["n"].tolist(), page_size, header)}))
-        return pd.concat(out)
+        rows = rows.sort_values(["p", "k"], ignore_index=True)
+        p, which, many = np.unique(rows["p"].to_numpy(), return_inverse=True, return_counts=True)
+        spot = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
+        lengths = np.full((len(p), int(many.max(initial=0))), NO_ROW)
+        lengths[which, spot] = rows["n"].to_numpy()
+        first, last, _ = layouts(lengths, page_size, header)
+        used = np.zeros(len(p), np.int64)
+        for m in np.unique(many):  # pages with as many rows
+            same = many == m
+            used[same] = layouts(lengths[same, :m], page_size, header)[2]
+        return pd.DataFrame({"k": rows["k"], "p": rows["p"], "a": first[which, spot], "b": last[which, spot], "used": used[which]})
 
     placed = rows.groupBy("_task").applyInPandas(place, "k long, p long, a long, b long, used long")
     # one row per data page, summed in order without a task over all of them

@@ -31,12 +31,13 @@ def group_runs(df: DataFrame, key: str, same_group: Callable[[Callable[[str], Co
     numbered without a single task over all rows, then grouped; partial sums keep long runs apart.
     """
     before = {c: f"_tm_before_{c}" for c in uses}
-    marked = Ordered(df, key, ties, rows_per_block).previous({**{key: "_tm_before_key"}, **{c: n for c, n in before.items() if c != key}})
+    ordered = Ordered(df, key, ties, rows_per_block)
+    marked = ordered.previous({**{key: "_tm_before_key"}, **{c: n for c, n in before.items() if c != key}}, keep=True)
     old = {key: "_tm_before_key", **{c: n for c, n in before.items() if c != key}}
     goes_on = same_group(lambda name: F.col(old[name]))
     # the first row has no row before it
     marked = marked.withColumn("_tm_new", F.when(F.col("_tm_before_key").isNotNull() & F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).drop(*old.values())
-    runs = Ordered(marked, key, ties, rows_per_block).running_sum("_tm_new", "_tm_run")
+    runs = ordered.going_on(marked).running_sum("_tm_new", "_tm_run")
     return runs.groupBy("_tm_run").agg(*(a.alias(n) for n, a in aggregates.items())).drop("_tm_run")
 
 

@@ -7,6 +7,8 @@ count) comes from a table with one row per block, of which there are at most MOS
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,17 @@ class Ordered:
         self.key, self.ties = key, ties
         block = block_number(df, key, rows_per_block)
         self.single = block is None
-        self.df = df.withColumn(BLOCK, F.lit(0) if self.single else block)
-        self.within = Window.partitionBy(BLOCK).orderBy(key, *ties)
+        self._on(df.withColumn(BLOCK, F.lit(0) if self.single else block))
+
+    def going_on(self, df: DataFrame) -> Ordered:
+        """The same order and blocks for rows that came out of an operation with ``keep``."""
+        other = copy.copy(self)
+        other._on(df)
+        return other
+
+    def _on(self, df: DataFrame) -> None:
+        self.df = df
+        self.within = Window.partitionBy(BLOCK).orderBy(self.key, *self.ties)
 
     def _from_before(self, value: Column, combine) -> DataFrame:
         """One row per block: its number and ``combine`` over the values of all earlier blocks."""
@@ -52,16 +63,16 @@ class Ordered:
             return df.withColumn("_tm_before", F.lit(None).cast(before.schema["_tm_before"].dataType))
         return df.join(F.broadcast(before), BLOCK, "left")
 
-    def _done(self, df: DataFrame) -> DataFrame:
-        return df.drop(BLOCK, "_tm_before")
+    def _done(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        return df.drop("_tm_before") if keep else df.drop(BLOCK, "_tm_before")
 
     def position(self, out: str) -> DataFrame:
         """Place in the whole order, from 0."""
         before = self._from_before(F.count(F.lit(1)), lambda w: F.sum("_tm_value").over(w.rowsBetween(Window.unboundedPreceding, -1)))
         return self._done(self._joined(self.df, before).withColumn(out, (F.row_number().over(self.within) - 1 + F.coalesce("_tm_before", F.lit(0))).cast("long")))
 
-    def previous(self, columns: dict[str, str]) -> DataFrame:
-        """New columns with values of the row before; of the first row, null. ``columns``: new name by old name."""
+    def previous(self, columns: dict[str, str], keep: bool = False) -> DataFrame:
+        """New columns with values of the row before; of the first row, null. ``columns``: new name by old name. ``keep``: with the block."""
         old = list(columns)
         row = F.struct(*(F.col(c).alias(c) for c in old))
         last = F.max_by(row, F.struct(self.key, *self.ties))
@@ -69,7 +80,7 @@ class Ordered:
         seen = self._joined(self.df, before).withColumn("_tm_prev", F.coalesce(F.lag(row).over(self.within), F.col("_tm_before")))
         for c in old:
             seen = seen.withColumn(columns[c], F.col("_tm_prev").getField(c))
-        return self._done(seen).drop("_tm_prev")
+        return self._done(seen, keep).drop("_tm_prev")
 
     def highest_before(self, column: str, out: str) -> DataFrame:
         """The highest value of all rows before; of the first row, null."""

@@ -9,6 +9,9 @@ from ..functions.buckets import Buckets, in_mask, overlaps
 from .ordered import ROWS_PER_BLOCK, Ordered
 from .scan import in_range
 
+#: Ranges of keys that a pruned scan asks for at most.
+RANGES = 64
+
 
 def with_pages(df: DataFrame, key: str, per_page: int, out: str = "page_id", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Each row's page when rows fill pages in key order."""
@@ -37,10 +40,28 @@ def live_pages(summary: DataFrame, min_key=None, max_key=None, min_data=None, ma
     return summary.where(keep)
 
 
-def pruned_scan(paged: DataFrame, summary: DataFrame, key: str, data: str, min_key=None, max_key=None, min_data=None, max_data=None, buckets: Buckets | None = None, page: str = "page_id") -> DataFrame:
-    """Rows in the ranges, read only from pages that may hold some. The summary of a large table is a table of its own."""
-    pages = live_pages(summary, min_key, max_key, min_data, max_data, buckets).select(page)
-    rows = paged.join(pages, page, "left_semi").where(in_range(key, min_key, max_key) & in_range(data, min_data, max_data))
+def live_ranges(summary: DataFrame, page: str = "page_id", **bounds) -> list[tuple]:
+    """At most RANGES ranges of keys that cover the live pages; pages follow each other as keys do, so each range takes a stretch of them."""
+    live = live_pages(summary, **bounds)
+    span = live.agg(F.min(page), F.max(page)).first()
+    if span[0] is None:
+        return []
+    per = -(-(span[1] - span[0] + 1) // RANGES)
+    stretch = F.expr(f"(`{page}` - {span[0]}) div {per}")
+    rows = live.groupBy(stretch.alias("_tm_stretch")).agg(F.min("min_key").alias("low"), F.max("max_key").alias("high")).orderBy("low").collect()
+    return [(r.low, r.high) for r in rows]
+
+
+def pruned_scan(df: DataFrame, summary: DataFrame, key: str, data: str, min_key=None, max_key=None, min_data=None, max_data=None, buckets: Buckets | None = None, page: str = "page_id") -> DataFrame:
+    """Rows in the ranges, read only where live pages are: their ranges of keys are filters that reach the table's own scan.
+
+    The summary of a large table is a table of its own.
+    """
+    ranges = live_ranges(summary, page, min_key=min_key, max_key=max_key, min_data=min_data, max_data=max_data, buckets=buckets)
+    where = F.lit(False)
+    for low, high in ranges:
+        where = where | in_range(key, low, high)
+    rows = df.where(where).where(in_range(key, min_key, max_key) & in_range(data, min_data, max_data))
     if buckets is not None and (min_data, max_data) != (None, None):
         rows = rows.where(in_mask(F.col(data), buckets, buckets.mask(min_data, max_data)))
     return rows

@@ -110,6 +110,14 @@ def spline_points(spline: Spline, spark) -> DataFrame:
     return spark.createDataFrame([(i, k, p) for i, (k, p) in enumerate(spline.points)], "point_no long, key long, page_id long")
 
 
+def _scaled(x: np.ndarray, by: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """x * by // of, exact also where the product goes beyond 64 bits."""
+    large = np.flatnonzero(x.astype(np.float64) * by > 2.0**62)
+    out = x * by // of
+    out[large] = [int(a) * int(b) // int(c) for a, b, c in zip(x[large], by[large], of[large])]
+    return out
+
+
 def estimated(keys: DataFrame, key: str, spline: Spline) -> DataFrame:
     """``keys`` with loc, low and high by the spline, looked up many at a time."""
     xs, ys = np.array([p[0] for p in spline.points], np.int64), np.array([p[1] for p in spline.points], np.int64)
@@ -121,7 +129,7 @@ def estimated(keys: DataFrame, key: str, spline: Spline) -> DataFrame:
             k = np.clip(np.searchsorted(xs, x, side="left"), 1, max(1, len(xs) - 1))
             if len(xs) > 1:
                 wide = np.maximum(xs[k] - xs[k - 1], 1)
-                loc = (x - xs[k - 1]) * (ys[k] - ys[k - 1]) // wide + ys[k - 1]
+                loc = _scaled(np.clip(x, xs[k - 1], xs[k]) - xs[k - 1], ys[k] - ys[k - 1], wide) + ys[k - 1]
             else:
                 loc = np.full(len(x), ys[0])
             low, high = np.maximum(loc - error, 0), np.minimum(loc + error, ys[-1])

@@ -14,6 +14,7 @@ from ..functions import aggregates as agg
 from ..functions.buckets import BUCKETS_8, BUCKETS_16, BUCKETS_64, in_mask
 from ..functions.times import bucket, epoch_seconds
 from ..operators import blobs, custom, grouping, ingest, pages, relational, retention, scan, spline
+from ..schema import type_of_width
 from ..sources import page_file
 from ..streaming import ingest as streaming
 
@@ -106,15 +107,8 @@ def get_many_status(spark, sf_dir):
     return scan.get_many(events(spark, sf_dir).select("event_id", "value"), "event_id", keys, "key")
 
 
-@query("SELECT event_id, value FROM {events} WHERE value > 50 AND event_id < 900")
-def pending_rows_seen(spark, sf_dir):
-    rows = events(spark, sf_dir).select("event_id", "value")
-    seen = scan.with_pending(rows.where("event_id < 600"), rows.where("event_id >= 600 and event_id < 900"))
-    return relational.select(seen, "value", relational.GT, 50)
-
-
 @query("SELECT event_id, value FROM {events} WHERE value > 50")
-def pending_rows_seen_whole(spark, sf_dir):
+def pending_rows_seen(spark, sf_dir):
     """All rows, stored up to the median key and pending above it."""
     rows = events(spark, sf_dir).select("event_id", "value")
     middle = _key_at(rows, 0.5)
@@ -153,6 +147,20 @@ def select_and(spark, sf_dir):
     return relational.select(relational.select(rows, "v", relational.LTE, 40), "user_id", relational.GTE, 100)
 
 
+@query("SELECT event_id, u FROM (SELECT event_id, event_id * 2654435761 % 4294967296 AS u FROM events) WHERE u > 3000000000")
+def select_unsigned(spark, sf_dir):
+    """Unsigned numbers of four bytes, half of them above the signed ones."""
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 2654435761 % 4294967296).cast(type_of_width(4)).alias("u"))
+    return relational.select(rows, "u", relational.GT, 3_000_000_000)
+
+
+@query("SELECT event_id, s FROM (SELECT event_id, CAST(event_id * 2654435761 % 4294967296 - 2147483648 AS INTEGER) AS s FROM events) WHERE s <= -1000000000")
+def select_signed(spark, sf_dir):
+    """Signed numbers of four bytes, half of them below zero."""
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 2654435761 % 4294967296 - 2147483648).cast(type_of_width(-4)).alias("s"))
+    return relational.select(rows, "s", relational.LTE, -1_000_000_000)
+
+
 # the benchmark queries
 
 
@@ -256,16 +264,9 @@ def agg_last_value(spark, sf_dir):
     return grouping.group_by(events(spark, sf_dir), {"day": bucket("k", DAY)}, {"last_value": agg.last("value", "event_id"), "last_type": agg.last("event_type", "event_id")}, show_keys=True)
 
 
-@query("""SELECT user_id, CAST((sum(CAST(event_id AS HUGEINT) * 4611686018427387904) + 9223372036854775808) % 18446744073709551616 - 9223372036854775808 AS BIGINT) AS total
-          FROM {events} WHERE event_id < 300 GROUP BY 1""")
-def sum_wrapped(spark, sf_dir):
-    rows = events(spark, sf_dir).where("event_id < 300").withColumn("large", F.col("event_id").cast("decimal(10,0)") * F.lit("4611686018427387904").cast("decimal(19,0)"))
-    return grouping.group_by(rows, {"user_id": F.col("user_id")}, {"total": agg.total("large", wrap=True)}, show_keys=True)
-
-
 @query("""SELECT user_id, CAST((sum(CAST(event_id AS HUGEINT) * 4611686018427387904) + 9223372036854775808) % 18446744073709551616 - 9223372036854775808 AS BIGINT) AS total
           FROM {events} GROUP BY 1""")
-def sum_wrapped_whole(spark, sf_dir):
+def sum_wrapped(spark, sf_dir):
     """All rows."""
     rows = events(spark, sf_dir).withColumn("large", F.col("event_id").cast("decimal(10,0)") * F.lit("4611686018427387904").cast("decimal(19,0)"))
     return grouping.group_by(rows, {"user_id": F.col("user_id")}, {"total": agg.total("large", wrap=True)}, show_keys=True)
@@ -302,6 +303,16 @@ def bitmap_range_members(spark, sf_dir):
     return events(spark, sf_dir).where(in_mask(F.col("v"), BUCKETS_8, BUCKETS_8.mask(25, 45))).select("event_id", "v")
 
 
+@query("SELECT event_id, v FROM {events} WHERE least(greatest(ceil((v * 10 - 320) / 30.0), 0), 15) BETWEEN 3 AND 8")
+def bitmap16_range_members(spark, sf_dir):
+    return events(spark, sf_dir).where(in_mask(F.col("v") * 10, BUCKETS_16, BUCKETS_16.mask(400, 550))).select("event_id", "v")
+
+
+@query("SELECT event_id, v FROM {events} WHERE least(greatest(ceil((v * 10 - 320) / 10.0), 0), 63) BETWEEN 8 AND 63")
+def bitmap64_range_members(spark, sf_dir):
+    return events(spark, sf_dir).where(in_mask(F.col("v") * 10, BUCKETS_64, BUCKETS_64.mask(400, None))).select("event_id", "v")
+
+
 @query(f"""SELECT page_id, count(*) AS n_rows, min(event_id) AS min_key, max(event_id) AS max_key, min(v) AS min_data, max(v) AS max_data,
                   CAST(bit_or(CAST(1 AS BIGINT) << ({CASE_8})) AS BIGINT) AS bitmap FROM {{paged}} GROUP BY 1""")
 def page_summary(spark, sf_dir):
@@ -310,8 +321,8 @@ def page_summary(spark, sf_dir):
 
 @query("SELECT event_id, v FROM {events} WHERE event_id BETWEEN 150 AND 900 AND v BETWEEN 200 AND 300")
 def pruned_range(spark, sf_dir):
-    rows = paged(spark, sf_dir)
-    return pages.pruned_scan(rows, pages.page_summary(rows, "event_id", "v", BUCKETS_8), "event_id", "v", 150, 900, 200, 300, BUCKETS_8).select("event_id", "v")
+    summary = pages.page_summary(paged(spark, sf_dir), "event_id", "v", BUCKETS_8)
+    return pages.pruned_scan(events(spark, sf_dir), summary, "event_id", "v", 150, 900, 200, 300, BUCKETS_8).select("event_id", "v")
 
 
 # ingest and retention
@@ -329,18 +340,8 @@ def ingest_status(spark, sf_dir):
     return ingest.judged(events(spark, sf_dir).select("event_id", "user_id"), "user_id", "event_id")
 
 
-@query("SELECT event_id, v FROM {events} WHERE event_id < 777")
-def ingest_table(spark, sf_dir):
-    rows = events(spark, sf_dir).select("event_id", "v")
-    stored = ingest.Table(spark, scratch(spark, "table"), "event_id", "event_id", rows.schema)
-    stored.put(rows.where("event_id < 500"))
-    stored.flush()
-    stored.put(rows.where("event_id between 300 and 776"))  # the first two hundred come too late
-    return stored.rows()
-
-
 @query("SELECT event_id, v FROM {events}")
-def ingest_table_whole(spark, sf_dir):
+def ingest_table(spark, sf_dir):
     """All rows: flushed up to the median key, then put from the lower quartile on."""
     rows = events(spark, sf_dir).select("event_id", "v")
     quarter, middle = _key_at(rows, 0.25), _key_at(rows, 0.5)
@@ -388,42 +389,89 @@ def _blob_rows(spark, sf_dir):
     return rows.withColumn("n", F.length("blob"))
 
 
-@query()
+ROOM = BLOB_PAGE - BLOB_HEADER
+PLACED_SQL = f"""WITH RECURSIVE r AS (SELECT event_id, page_id, row_number() OVER (PARTITION BY page_id ORDER BY event_id) AS i,
+                     coalesce(CASE WHEN event_id % 3 <> 0 THEN strlen(props) END, -1) AS n FROM {PAGED_SQL}),
+               f AS (SELECT DISTINCT page_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS pg, CAST({BLOB_HEADER} AS BIGINT) AS spot, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM r
+                     UNION ALL
+                     SELECT page_id, i, event_id, pg1, spot1, pg0, CASE WHEN n >= 0 AND spot1 = {BLOB_HEADER} AND pg1 > pg0 THEN pg1 - 1 ELSE pg1 END
+                     FROM (SELECT *, CASE WHEN n < 0 THEN pg0 ELSE pg0 + (spot0 + 4 + n) // {ROOM} END AS pg1, {BLOB_HEADER} + CASE WHEN n < 0 THEN spot0 ELSE (spot0 + 4 + n) % {ROOM} END AS spot1
+                           FROM (SELECT r.page_id, r.i, r.event_id, r.n, f.pg + CAST(f.spot > {BLOB_PAGE - 4} AS BIGINT) AS pg0, CASE WHEN f.spot > {BLOB_PAGE - 4} THEN 0 ELSE f.spot - {BLOB_HEADER} END AS spot0
+                                 FROM f JOIN r ON r.page_id = f.page_id AND r.i = f.i + 1))),
+               u AS (SELECT page_id, CAST(sum(arg) OVER (ORDER BY page_id) - arg AS BIGINT) AS s FROM (SELECT page_id, max_by(pg + CAST(spot > {BLOB_HEADER} AS BIGINT), i) AS arg FROM f GROUP BY 1)),
+               p AS (SELECT event_id, page_id, a + s AS first_blob_page, b + s AS last_blob_page FROM f JOIN u USING (page_id) WHERE i > 0)"""
+KEPT_SQL = f"""w AS (SELECT max(last_blob_page) AS w FROM p),
+               g AS (SELECT CASE WHEN w <= {BLOB_RING} THEN 0 WHEN w % {BLOB_RING} = 0 THEN w - {BLOB_RING} ELSE w - {BLOB_RING} + {BLOCK} - w % {BLOCK} END AS g FROM w),
+               k AS (SELECT CASE WHEN (SELECT g FROM g) = 0 THEN (SELECT min(event_id) FROM p) ELSE (SELECT max(event_id) + 1 FROM p, g WHERE first_blob_page <= g AND last_blob_page >= g) END AS k)"""
+
+
+@query(PLACED_SQL + "SELECT event_id, page_id, first_blob_page, last_blob_page FROM p")
 def blob_pages(spark, sf_dir):
-    """Where each value lies; a fold over lengths, tested against a model of single writes."""
+    """Where each value lies."""
     return blobs.blob_pages(_blob_rows(spark, sf_dir), "event_id", "n", BLOB_PAGE, BLOB_HEADER)
 
 
-@query()
-def blob_status(spark, sf_dir):
-    """Values that a ring of blob pages has lost after reopening."""
-    rows = _blob_rows(spark, sf_dir)
+def _first_kept(rows):
+    """The least key whose value a ring of blob pages still has after reopening."""
     placed = blobs.blob_pages(rows, "event_id", "n", BLOB_PAGE, BLOB_HEADER).persist()
     first = blobs.first_kept_key(placed, "event_id", blobs.blob_pages_written(placed), BLOB_RING, BLOCK, reopened=True)
     placed.unpersist()
-    return blobs.with_blob_status(rows, "event_id", "blob", first).select("event_id", "blob_status", F.col("blob").isNotNull().alias("has_blob"))
+    return first
+
+
+@query(PLACED_SQL + ", " + KEPT_SQL + """ SELECT event_id, CAST(has AND event_id < k AS INTEGER) AS blob_status, has AND event_id >= k AS has_blob
+          FROM (SELECT event_id, event_id % 3 <> 0 AND props IS NOT NULL AS has FROM events), k""")
+def blob_status(spark, sf_dir):
+    """Values that a ring of blob pages has lost after reopening."""
+    rows = _blob_rows(spark, sf_dir)
+    return blobs.with_blob_status(rows, "event_id", "blob", _first_kept(rows)).select("event_id", "blob_status", F.col("blob").isNotNull().alias("has_blob"))
+
+
+@query(PLACED_SQL + ", " + KEPT_SQL + """ SELECT event_id, value, CASE WHEN event_id >= k THEN blob END AS blob, CAST(blob IS NOT NULL AND event_id < k AS INTEGER) AS blob_status
+          FROM (SELECT event_id, value, CASE WHEN event_id % 3 <> 0 THEN props END AS blob FROM events WHERE event_id >= 500), k""")
+def range_with_blob(spark, sf_dir):
+    """A range of keys with its values, of which the ring has lost some."""
+    rows = _blob_rows(spark, sf_dir)
+    kept = blobs.with_blob_status(rows, "event_id", "blob", _first_kept(rows))
+    return scan.range_scan(kept, "event_id", 500).select("event_id", "value", F.col("blob").cast("string").alias("blob"), "blob_status")
+
+
+@query(PLACED_SQL + ", " + KEPT_SQL + """ SELECT c.key, e.value, CASE WHEN e.event_id >= k THEN e.blob END AS blob,
+          CAST(CASE WHEN e.event_id IS NULL THEN -1 WHEN e.blob IS NOT NULL AND e.event_id < k THEN 1 ELSE 0 END AS INTEGER) AS status
+          FROM (SELECT c_custkey * 9 AS key FROM customer) c LEFT JOIN (SELECT event_id, value, CASE WHEN event_id % 3 <> 0 THEN props END AS blob FROM events) e ON e.event_id = c.key, k""")
+def get_many_blobs(spark, sf_dir):
+    """Lookups with values: found, found without its value, missing."""
+    rows = _blob_rows(spark, sf_dir)
+    kept = blobs.with_blob_status(rows, "event_id", "blob", _first_kept(rows))
+    keys = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 9).alias("key"))
+    return scan.get_many(kept.select("event_id", "value", "blob", "blob_status"), "event_id", keys, "key", F.col("blob_status") == 1).drop("blob_status").withColumn("blob", F.col("blob").cast("string"))
 
 
 # the learned index
 
 
-@query()
+SPLINE_SQL = f"""WITH RECURSIVE m AS (SELECT page_id AS y, min(event_id) AS x FROM {PAGED_SQL} GROUP BY 1), t AS (SELECT *, row_number() OVER (ORDER BY x) AS i FROM m),
+               f AS (SELECT CAST(2 AS BIGINT) AS i, CAST(a.x AS HUGEINT) AS ox, CAST(a.y AS HUGEINT) AS oy, CAST(b.x AS HUGEINT) AS px, CAST(b.y AS HUGEINT) AS py, CAST(b.x AS HUGEINT) AS lx, CAST(greatest(b.y - 1, 0) AS HUGEINT) AS ly, CAST(b.x AS HUGEINT) AS hx, CAST(b.y + 1 AS HUGEINT) AS hy, false AS new
+                     FROM t a, t b WHERE a.i = 1 AND b.i = 2
+                     UNION ALL
+                     SELECT i, CASE WHEN new THEN px ELSE ox END, CASE WHEN new THEN py ELSE oy END, x, y,
+                            CASE WHEN new OR (z - oy) * (lx - ox) > (ly - oy) * (x - ox) THEN x ELSE lx END, CASE WHEN new OR (z - oy) * (lx - ox) > (ly - oy) * (x - ox) THEN z ELSE ly END,
+                            CASE WHEN new OR (hy - oy) * (x - ox) > (y + 1 - oy) * (hx - ox) THEN x ELSE hx END, CASE WHEN new OR (hy - oy) * (x - ox) > (y + 1 - oy) * (hx - ox) THEN y + 1 ELSE hy END, new
+                     FROM (SELECT f.* EXCLUDE (i, new), t.i, CAST(t.x AS HUGEINT) AS x, CAST(t.y AS HUGEINT) AS y, CAST(greatest(t.y - 1, 0) AS HUGEINT) AS z,
+                                  (t.y - oy) * (hx - ox) > (hy - oy) * (t.x - ox) OR (ly - oy) * (t.x - ox) > (t.y - oy) * (lx - ox) AS new FROM f JOIN t ON t.i = f.i + 1)),
+               p AS (SELECT x, y FROM t WHERE i = 1 UNION ALL SELECT ox, oy FROM f WHERE new UNION ALL SELECT x, y FROM t WHERE i > 1 AND i = (SELECT max(i) FROM t))
+          SELECT row_number() OVER (ORDER BY x) - 1 AS point_no, CAST(x AS BIGINT) AS key, CAST(y AS BIGINT) AS page_id FROM p"""
+
+
+@query(SPLINE_SQL)
 def spline_points(spark, sf_dir):
-    """Points of the index; a greedy fold, tested against fixed points."""
+    """Points of the index."""
     summary = pages.page_summary(paged(spark, sf_dir), "event_id", "v")
     return spline.spline_points(spline.build(summary), spark)
 
 
-@query("SELECT event_id AS key, page_id FROM {paged} WHERE event_id % 7 = 0")
-def spline_lookup(spark, sf_dir):
-    rows = paged(spark, sf_dir)
-    summary = pages.page_summary(rows, "event_id", "v")
-    keys = rows.where("event_id % 7 = 0").select(F.col("event_id").alias("key"))
-    return spline.page_of(keys, "key", summary, spline.build(summary)).select("key", "page_id")
-
-
 @query("SELECT event_id AS key, page_id FROM {paged}")
-def spline_lookup_whole(spark, sf_dir):
+def spline_lookup(spark, sf_dir):
     """All keys."""
     rows = paged(spark, sf_dir)
     summary = pages.page_summary(rows, "event_id", "v")

@@ -20,13 +20,19 @@ PER_PAGE = (PAGE - HEADER) // RECORD.itemsize
 def unpacked(data: bytes) -> np.ndarray:
     """The records of whole pages; a part of a page at the end is left out."""
     pages = np.frombuffer(data[: len(data) // PAGE * PAGE], np.uint8).reshape(-1, PAGE)
-    counts = np.minimum(pages[:, COUNT_AT : COUNT_AT + 2].copy().view("<u2").ravel(), PER_PAGE)
+    counts = pages[:, COUNT_AT : COUNT_AT + 2].copy().view("<u2").ravel()
+    if (counts > PER_PAGE).any():
+        raise ValueError(f"a page has no more than {PER_PAGE} records")
     records = np.ascontiguousarray(pages[:, HEADER : HEADER + PER_PAGE * RECORD.itemsize]).view(RECORD).reshape(len(pages), PER_PAGE)
     return records[np.arange(PER_PAGE)[None, :] < counts[:, None]]
 
 
 def packed(rows: np.ndarray, first_page: int = 0) -> bytes:
-    """Pages of records, full but for the last."""
+    """Pages of records, full but for the last; numbers that don't fit a record's fields are refused."""
+    for name in RECORD.names:
+        held, x = np.iinfo(RECORD[name]), rows[name]
+        if len(x) and (int(x.min()) < held.min or int(x.max()) > held.max):
+            raise ValueError(f"{name} doesn't fit {RECORD[name].itemsize} bytes")
     out = bytearray()
     for k in range(0, len(rows), PER_PAGE):
         part = rows[k : k + PER_PAGE]

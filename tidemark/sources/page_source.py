@@ -98,13 +98,13 @@ class PageWriter(DataSourceArrowWriter):
         return _Written(name)
 
     def commit(self, messages):
-        if self.overwrite:
-            for f in files_of(self.path):
-                os.remove(f)
+        old = files_of(self.path) if self.overwrite else []
         for m in messages:
             if m is not None:
                 folder, name = os.path.split(m.name)
                 os.replace(m.name, os.path.join(folder, name[1:]))
+        for f in old:  # only once the new ones are there
+            os.remove(f)
 
     def abort(self, messages):
         for m in messages:

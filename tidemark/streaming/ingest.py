@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from ..operators.ingest import accepted
 
@@ -14,13 +17,22 @@ def guarded_append(stream: DataFrame, path: str, key: str, arrival: str, checkpo
 
     Each batch overwrites its own folders, so one that runs again after a failure leaves the same
     rows. The highest key so far is one row beside each batch, in a folder that readers of the table
-    skip; the checkpoint names the batch to go on with.
+    skip; the checkpoint names the batch to go on with. Streams with another checkpoint write folders
+    of their own, and their first batch starts from the highest key that the table holds by then.
     """
+    run = f"run={zlib.crc32(checkpoint.encode()):08x}"
+
+    def held(spark) -> int | None:
+        try:
+            rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+        except AnalysisException:
+            return None
+        return rows.where(~F.input_file_name().contains(f"/{run}/")).agg(F.max(F.col(key).cast("long"))).first()[0]
 
     def take(batch: DataFrame, number: int) -> None:
-        spark, mark = batch.sparkSession, f"{path}/_high/batch="
-        highest = spark.read.parquet(f"{mark}{number - 1}").first()[0] if number else None
-        own = f"{path}/batch={number}"
+        spark, mark = batch.sparkSession, f"{path}/_high/{run}/batch="
+        highest = spark.read.parquet(f"{mark}{number - 1}").first()[0] if number else held(spark)
+        own = f"{path}/{run}/batch={number}"
         accepted(batch, key, arrival, highest).write.mode("overwrite").parquet(own)
         top = spark.read.schema(batch.schema).parquet(own).agg(F.greatest(F.max(F.col(key).cast("long")), F.lit(highest).cast("long")).alias("high"))
         top.write.mode("overwrite").parquet(f"{mark}{number}")
