@@ -101,7 +101,8 @@ def test_bounds_let_outsiders_go():
     lists = top_k.Lists(v)
     found = top_k.best(lists, np.array([[5, 4, 3, 2], [-1, 2, 0, 1]]), 3, np.full(2, -np.inf), None)
     assert len(found[0][0]) < 200
-    for q, (rows, scores) in zip(([5, 4, 3, 2], [-1, 2, 0, 1]), found):
+    for q, (rows, scores, share) in zip(([5, 4, 3, 2], [-1, 2, 0, 1]), found):
+        assert share < 1
         assert set(np.sort(v @ q)[-3:]) <= set(scores.tolist())
 
 
@@ -116,6 +117,21 @@ def test_top_edges(spark):
     big = spark.createDataFrame([(0, [1e9, 1e9]), (1, [1e9, 1e9]), (2, [-1e9, 3.0])], "vec_id long, embedding array<double>")
     top = top_k.top_scores(big, big.where("vec_id = 0")).collect()
     assert [r.vec_id for r in sorted(top, key=lambda r: r.rank)] == [1, 2]
+    huge = spark.createDataFrame([(0, [3e18, 2.0]), (1, [1e17, -5.0]), (2, [1e17, 7.5]), (3, [-1e300, 0.0]), (4, [1e300, 1.0])], "vec_id long, embedding array<double>").coalesce(1)
+    top = top_k.top_scores(huge, huge.where("vec_id = 0")).collect()
+    assert [(r.vec_id, r.score) for r in sorted(top, key=lambda r: r.rank)][0] == (1, 2**63 - 1) and {r.vec_id: r.score for r in top}[3] == -(2**63)
+
+
+def test_vectors_of_many_widths_and_shares(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "BLOCK", 32)
+    monkeypatch.setattr(top_k, "PASS_BYTES", 64)
+    rng = np.random.default_rng(3)
+    v = [(i, (rng.integers(-900, 900, rng.integers(0, 7)) / 256).tolist()) for i in range(200)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(3)
+    found = top_k.top_scores(df, df.where("vec_id % 50 = 0"), with_share=True).collect()
+    whole = [(i, [int(256 * x) for x in e] + [0] * (6 - len(e))) for i, e in v]
+    assert sorted(tuple(r)[:4] for r in found) == exact(whole, [w for w in whole if w[0] % 50 == 0], 5)
+    assert all(0 < r.share_read <= 1 for r in found)
 
 
 def test_search_sql(spark):
