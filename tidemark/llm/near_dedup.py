@@ -5,7 +5,8 @@ their weighted Jaccard similarity reaches the threshold, and classes are the com
 Pairs of a bucket aren't sent out one by one:
 
 1. Of each very large bucket one member, a pivot, is compared with all others; that joins most copies
-   of one base. A pivot needs no more comparisons in any bucket.
+   of one base. Then some members of each large bucket's largest component are pivots for those
+   outside it. A pivot needs no more comparisons in any bucket.
 2. In large buckets that are still in several components, members outside the largest component meet
    all members of other components, in blocks of bounded size; a block compares by products of
    matrices and sends the links that join something. Members whose sums of weights are so far apart
@@ -44,6 +45,8 @@ SLICES = 16
 NAMELESS = 1 << 62
 #: Members of a very large and of a large bucket; about how many a block has.
 VERY_LARGE, LARGE, BLOCK = 256, 48, 128
+#: Members of a large bucket's largest component that its other members meet before blocks do.
+MORE_PIVOTS = 6
 #: Similarities are compared with so much of a margin for the order of additions.
 MARGIN = 1e-9
 
@@ -149,6 +152,10 @@ def classified(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     if seen["n"]:
         links, roots = joined(similar(_pairs(state, first, threshold), texts, sent, threshold))
         state = _undone(state, first, roots)
+        again = written(_pivots(state, LARGE, MORE_PIVOTS), "pivots")
+        links, roots = joined(similar(_pairs(state, again, threshold), texts, sent, threshold))
+        state = _undone(state, again, roots)
+        first = first.unionByName(again)
     large, seen = written_and_seen(state.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LARGE).select("bucket"), "large")
     if seen["n"]:
         links, roots = joined(_in_blocks(written(state.join(large, "bucket"), "open"), texts, sent, threshold))
@@ -213,9 +220,14 @@ def _largest(state: DataFrame) -> DataFrame:
     return written(sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("root")).alias("r"), "first")).alias("top")), "largest")
 
 
-def _pivots(state: DataFrame, members_from: int) -> DataFrame:
-    """The first member of the largest component of each bucket with so many members."""
-    return _largest(state).where(F.col("all") >= members_from).select(F.col("top.first").alias("node")).distinct()
+def _pivots(state: DataFrame, members_from: int, many: int = 1) -> DataFrame:
+    """The first members of the largest component of each bucket with so many members."""
+    largest = _largest(state).where(F.col("all") >= members_from)
+    if many == 1:
+        return largest.select(F.col("top.first").alias("node")).distinct()
+    inner = state.join(largest.select("bucket", (-F.col("top.r")).alias("top_root")), "bucket").where(F.col("root") == F.col("top_root"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+    return inner.withColumn("place", place).where(F.col("place") <= many).select("node").distinct()
 
 
 def _outsiders(state: DataFrame) -> DataFrame:
