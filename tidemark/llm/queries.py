@@ -1,4 +1,4 @@
-"""The thin queries of the corpus operators and their SQL."""
+"""The thin queries of the corpus operators; their SQL is in oracles."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from .common import table, written
 from .fingerprints import fingerprint_documents, within_radius
 from .line_field import fit_quality, held_out, score_quality
 from .near_dedup import near_duplicates
+from .oracles import ORACLE_SQL  # noqa: F401
 from .packing import pack_documents
 from .piece_coding import DIGESTS, encode_documents
 from .secrets import scan_secrets
@@ -68,14 +69,3 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_top_k, op3_near_dedup, op4_piece_coding, op5_sharding, op6_secret_scan, op7_token_counts, op8_packing, op9_fingerprints, op10_suffix_dedup)}
-
-ORACLE_SQL = {
-    "op2_top_k": """
-        WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS d, unnest(embedding) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-             fit AS (SELECT vec_id FROM e GROUP BY vec_id HAVING count(*) FILTER (WHERE x IS NULL OR NOT isfinite(x)) = 0),
-             c AS (SELECT e.vec_id, d, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM e JOIN fit ON e.vec_id = fit.vec_id),
-             s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(sum(q.v * r.v) AS BIGINT) AS score
-                   FROM c q JOIN c r ON q.d = r.d AND q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
-             n AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
-        SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 5""",
-}
