@@ -46,7 +46,7 @@ NAMELESS = 1 << 62
 #: Members of a very large and of a large bucket; about how many a block has.
 VERY_LARGE, LARGE, BLOCK = 256, 48, 128
 #: Members of a large bucket's largest component that its other members meet before blocks do.
-MORE_PIVOTS = 6
+MORE_PIVOTS = 3
 #: Similarities are compared with so much of a margin for the order of additions.
 MARGIN = 1e-9
 
