@@ -5,11 +5,11 @@ their weighted Jaccard similarity reaches the threshold, and classes are the com
 Pairs of a bucket aren't sent out one by one:
 
 1. Of each very large bucket one member, a pivot, is compared with all others; that joins most copies
-   of one base. Then some members of each large bucket's largest component are pivots for those
-   outside it. A pivot needs no more comparisons in any bucket.
+   of one base. A pivot needs no more comparisons in any bucket.
 2. In large buckets that are still in several components, members outside the largest component meet
-   all members of other components, in blocks of bounded size; a block compares by products of
-   matrices and sends the links that join something. Members whose sums of weights are so far apart
+   all members of other components, in blocks of a bounded number of members and shingles, so that
+   a text is sent once for many others; a block compares by products of matrices and sends the
+   links that join something. Members whose sums of weights are so far apart
    that they can't reach the threshold are in other blocks and don't meet.
 3. In small buckets, members outside the largest component are pivots.
 
@@ -43,10 +43,10 @@ from .links import components
 SLICES = 16
 #: Nodes of texts that have no id are hashes from here on, above all ids.
 NAMELESS = 1 << 62
-#: Members of a very large and of a large bucket; about how many a block has.
-VERY_LARGE, LARGE, BLOCK = 256, 48, 128
-#: Members of a large bucket's largest component that its other members meet before blocks do.
-MORE_PIVOTS = 3
+#: Members of a very large and of a large bucket.
+VERY_LARGE, LARGE = 256, 48
+#: About how many members and different shingles a block has at most (matrices of 2 MB, and some 3 MB of shingles and counts).
+BLOCK, BLOCK_SHINGLES = 512, 1 << 17
 #: Similarities are compared with so much of a margin for the order of additions.
 MARGIN = 1e-9
 
@@ -135,8 +135,8 @@ def classified(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     members = written(signed.select("id", "digest").join(nodes, "digest"), "members")
     own = nodes.groupBy("node").agg(F.min("digest").alias("digest"))
     bands = signed.where("size > 0").withColumn("node", _node_of(F.col("id"), F.col("digest"))).join(own, ["node", "digest"])
-    bands = written(bands.dropDuplicates(["node", "digest"]).select("node", "digest", "total", "bands"), "bands")
-    buckets = bands.select("node", "total", F.explode("bands").alias("bucket"))
+    bands = written(bands.dropDuplicates(["node", "digest"]).select("node", "digest", "size", "total", "bands"), "bands")
+    buckets = bands.select("node", "size", "total", F.explode("bands").alias("bucket"))
     shared = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
     open_ = written(buckets.join(shared, "bucket"), "buckets")  # members of buckets that aren't done
     candidates, seen = written_and_seen(bands.select("node", "digest").join(open_.select("node").distinct(), "node"), "candidates")
@@ -152,10 +152,6 @@ def classified(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     if seen["n"]:
         links, roots = joined(similar(_pairs(state, first, threshold), texts, sent, threshold))
         state = _undone(state, first, roots)
-        again = written(_pivots(state, LARGE, MORE_PIVOTS), "pivots")
-        links, roots = joined(similar(_pairs(state, again, threshold), texts, sent, threshold))
-        state = _undone(state, again, roots)
-        first = first.unionByName(again)
     large, seen = written_and_seen(state.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LARGE).select("bucket"), "large")
     if seen["n"]:
         links, roots = joined(_in_blocks(written(state.join(large, "bucket"), "open"), texts, sent, threshold))
@@ -220,14 +216,9 @@ def _largest(state: DataFrame) -> DataFrame:
     return written(sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("root")).alias("r"), "first")).alias("top")), "largest")
 
 
-def _pivots(state: DataFrame, members_from: int, many: int = 1) -> DataFrame:
-    """The first members of the largest component of each bucket with so many members."""
-    largest = _largest(state).where(F.col("all") >= members_from)
-    if many == 1:
-        return largest.select(F.col("top.first").alias("node")).distinct()
-    inner = state.join(largest.select("bucket", (-F.col("top.r")).alias("top_root")), "bucket").where(F.col("root") == F.col("top_root"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-    return inner.withColumn("place", place).where(F.col("place") <= many).select("node").distinct()
+def _pivots(state: DataFrame, members_from: int) -> DataFrame:
+    """The first member of the largest component of each bucket with so many members."""
+    return _largest(state).where(F.col("all") >= members_from).select(F.col("top.first").alias("node")).distinct()
 
 
 def _outsiders(state: DataFrame) -> DataFrame:
@@ -240,16 +231,17 @@ def _in_blocks(state: DataFrame, texts: DataFrame, sent, threshold: float) -> Da
 
     Members are dealt by the logarithm of their sum of weights to classes, so that two that can reach
     the threshold are in one class or in neighbouring ones, and within a class by a hash to blocks of
-    about BLOCK members. Each block of outsiders meets each block of members of its class and the
+    about BLOCK members and BLOCK_SHINGLES shingles at most (one text may have more). Each block of outsiders meets each block of members of its class and the
     two beside it; a group has no more than the members of two blocks.
     """
     sides = state.join(_largest(state), "bucket").withColumn("out", F.col("root") != -F.col("top.r"))
-    sides = sides.withColumn("c", F.floor(F.log("total") / F.lit(-math.log(threshold - MARGIN))).cast("int")).select("bucket", "node", "root", "out", "c")
-    sizes = sides.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("every"), F.sum(F.col("out").cast("int")).alias("outside"))
+    sides = sides.withColumn("c", F.floor(F.log("total") / F.lit(-math.log(threshold - MARGIN))).cast("int")).select("bucket", "node", "root", "size", "out", "c")
+    blocks = lambda n, shingles: F.ceil(F.greatest(n / F.lit(BLOCK), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+    outside = F.col("out").cast("int")
+    sizes = sides.groupBy("bucket", "c").agg(blocks(F.count(F.lit(1)), F.sum("size")).alias("every"), blocks(F.sum(outside), F.sum(outside * F.col("size"))).alias("outside"))
     sizes = written(sizes, "sizes")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    of = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    of = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     there = sizes.select("bucket", F.col("c").alias("d"), F.col("every").alias("d_every"), F.col("outside").alias("d_outside"))
     near = sides.join(sizes, ["bucket", "c"]).withColumn("d", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1))).join(there, ["bucket", "d"])
     left = near.where("out").select("bucket", "node", "root", F.lit(0).alias("side"), "c", "d", of(F.col("outside")).alias("i"), numbers(F.col("d_every")).alias("j"))

@@ -29,8 +29,8 @@ SAMPLES = BANDS * BAND_SIZE
 WIDTH, ROWS = 1 << 20, 2
 DOC_BITS = 12
 GROUP_BYTES = 1_000_000
-#: Documents that are sampled at once.
-SAMPLED = 512
+#: Documents that are sampled at once; cells of a matrix of counts.
+SAMPLED, CELLS = 512, 1 << 21
 
 
 def document_shingles(texts: list[bytes]):
@@ -148,7 +148,7 @@ def likenesses(left: list[Weights], right: list[Weights]) -> np.ndarray:
     The smaller of two counts is the number of levels that both reach, so shared weight is a sum of
     products over levels; only shingles of both sides have columns, some at a time.
     """
-    width = 16_384
+    width = max(CELLS // max(len(left), len(right), 1), 1)
     some = [np.concatenate([w.shingle for w in side]) if side else np.zeros(0, U) for side in (left, right)]
     both = np.intersect1d(*some)
     shared = np.zeros((len(left), len(right)))
