@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprints as fp
 from tidemark.llm import line_field, queries, top_k
-from tidemark.llm.common import gapless, table
+from tidemark.llm.common import gapless, table, tables_so_far
 from tidemark.llm.secrets import redact_secrets, scan_secrets
 
 from .conftest import ODD
@@ -322,6 +322,16 @@ def test_pipeline(spark, odd, none):
         assert stage(spark, odd, DATA).count() >= 8 and stage(spark, none, DATA).count() == 0
 
 
+@pytest.mark.parametrize("stage, rows", [("near_dedup", 8), ("suffix_dedup", len(ODD))])
+def test_stages_leave_only_what_they_read(spark, odd, stage, rows):
+    import corpus_pipeline
+
+    before = tables_so_far(spark)
+    out = dict(corpus_pipeline.STAGES)[stage](spark, odd, DATA)
+    assert tables_so_far(spark) == before + 1
+    assert out.count() == rows == len(out.collect())
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -171,6 +172,20 @@ def test_pack_query(spark, odd, none, library):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_token_ids_are_sent_once(spark, odd):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        packed = packing.pack_documents(odd, size=64, with_ids=True)
+        text = packed._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        rows = Counter((r.doc_id, r.piece, tuple(r.ids), r.ids_crc32) for r in packed.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", text)
+    assert dealt and sum(bool(re.search(r"\bids#", d)) for d in dealt) == 1
+    assert all(c == zlib.crc32(np.array(x, "<u4").tobytes()) for _, _, x, c in rows)
+    assert rows == Counter((r.doc_id, r.piece, tuple(r.ids), r.ids_crc32) for r in packing.token_pieces(odd, 64, with_ids=True).collect())
+
+
 # piece coding
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import weighted_minhash as wm
-from .common import among, digest128, released, text_or_empty, workers_can_import, written, written_and_seen
+from .common import among, digest128, drop_tables, released, tables_so_far, text_or_empty, workers_can_import, written, written_and_seen
 from .links import components
 
 SLICES = 16
@@ -180,9 +180,11 @@ def _node_of(id_: Column, digest: Column) -> Column:
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class: that with the smallest id, among those of one id (or of none) that with the least digest. Other columns stay."""
+    since = tables_so_far(docs.sparkSession)
     classes = classified(docs, threshold, id_col, text_col)
     kept = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("kept"))
     kept = written(kept.select(F.col("kept.id").alias("_tm_id"), F.col("kept.digest").alias("_tm_digest")), "kept")
+    drop_tables(docs.sparkSession, since, keep=1)  # the result reads ``docs`` and this one only
     keyed = docs.withColumn("_tm_id", F.col(id_col).cast("long")).withColumn("_tm_digest", digest128(text_or_empty(text_col)))
     # nulls are no keys of joins
     named = keyed.withColumn("_tm_key", _node_of(F.col("_tm_id"), F.col("_tm_digest"))).drop("_tm_id")

@@ -6,7 +6,8 @@ sequence has tokens. Sums of one, two and three lengths are indexed by their val
 piece down, the gap beside it is looked up there and filled exactly by one
 length, else by a pair, else by three lengths, as often as all of them are available; what is left
 over goes best fit. Pieces of one length are exchangeable, so the plan is a short list of runs of
-piece numbers, and the pieces find their places by a join on length and number.
+piece numbers, and the pieces find their places by a join on length and number. Token ids that are
+asked for stay out of that; they are joined to the places by the number of their row.
 
 Defined results: a null text counts as empty and gives one piece with the end id alone; a null id
 stays null; repeated rows are packed as often as they come; an empty table gives no rows; other
@@ -139,6 +140,8 @@ def best_fit(counts, size: int):
     return list(content.values())
 
 
+#: Number of a row of the table of pieces.
+ROW = "_tm_row"
 RUNS = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "first", "last", "first_sequence", "offset")])
 
 
@@ -182,11 +185,17 @@ def token_pieces(docs: DataFrame, size: int = 2048, tokenizer: str = "word_bpe_4
 
 def pack_documents(docs: DataFrame, size: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Every piece with the sequence it is packed into and its offset there."""
-    pieces = written(token_pieces(docs, size, tokenizer, end_id, id_col, text_col, with_ids), "pieces")
+    pieces = token_pieces(docs, size, tokenizer, end_id, id_col, text_col, with_ids)
+    # rows are numbered as they are written, so a row keeps its number whoever reads it
+    pieces = written(pieces.withColumn(ROW, F.monotonically_increasing_id()) if with_ids else pieces, "pieces")
     counts = np.zeros(size + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most `size` rows
         counts[length] = n
     runs = docs.sparkSession.createDataFrame(runs_of(plan_packs(counts, size)), RUNS)
-    numbered = gapless(pieces, ["length"], [id_col, "piece", "ids_crc32"], "k")
+    numbered = gapless(pieces.drop("ids") if with_ids else pieces, ["length"], [id_col, "piece", "ids_crc32"], "k")
     placed = numbered.join(runs, "length").where((F.col("k") >= F.col("first")) & (F.col("k") < F.col("last")))
-    return placed.select(id_col, "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("k") - F.col("first")).alias("sequence_id"), "offset", *(["ids"] if with_ids else []))
+    places = [id_col, "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("k") - F.col("first")).alias("sequence_id"), "offset"]
+    if not with_ids:
+        return placed.select(*places)
+    # token ids are sent once, when their place is known; the planning is by the rows without them
+    return placed.select(*places, ROW).join(pieces.select(ROW, "ids"), ROW).drop(ROW)

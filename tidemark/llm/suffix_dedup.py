@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repeats as rp
-from .common import digest128, released, text_or_empty, workers_can_import, written
+from .common import digest128, drop_tables, released, tables_so_far, text_or_empty, workers_can_import, written
 from .ragged import Buffer, U, groups_of, mixed, window_hash
 
 LOWEST = -(2**63)
@@ -219,10 +219,12 @@ def count_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated bytes cut out of their texts; a character that lost some of its bytes goes whole. Other columns stay."""
     workers_can_import(docs.sparkSession)
+    since = tables_so_far(docs.sparkSession)
     text, plain = _prepared(docs, id_col, text_col)
     rows = written(plain.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
     cut = _repeats(plain, rows, True).select(F.col("key").alias("_tm_key"), F.col("kept").alias("_tm_kept"))
     copies = rows.where(F.col("n_bytes") >= rp.LENGTH).groupBy("key").count().where("count > 1").select(F.col("key").alias("_tm_key"), F.lit("").alias("_tm_kept"))
     changed = written(copies.unionByName(cut.join(copies.select("_tm_key"), "_tm_key", "left_anti")), "changed")
+    drop_tables(docs.sparkSession, since, keep=1)  # the result reads ``docs`` and this one only
     joined = docs.withColumn("_tm_key", text_key(text)).join(changed, "_tm_key", "left")
     return joined.withColumn(text_col, F.coalesce("_tm_kept", F.col(text_col))).select(*docs.columns)
