@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing, pieces, vocabulary
-from tidemark.llm.common import tokenizer_path
+from tidemark.llm.common import released, tokenizer_path
 from tidemark.llm.piece_coding import DIGESTS, encode_documents
 from tidemark.llm.token_counts import count_tokens
 
@@ -53,6 +53,17 @@ def test_tables_of_chunks_stay_bounded(monkeypatch, library):
     assert len(counter.kept) <= 50 and len(counter.words) <= 20
 
 
+def test_workers_let_go_of_what_others_keep():
+    from tidemark.llm.ragged import POWERS
+
+    vocabulary.ids(WORD)
+    POWERS.of(1000)
+    assert list(released(iter([1, 2]), "vocabulary")) == [1, 2] and vocabulary.ids.cache_info().currsize == 1 and len(POWERS.up) == 1
+    up, down = POWERS.of(300_000)
+    assert 300_000 <= len(up) <= 600_000 and (up * down == 1).all()
+    assert list(released(iter([3]))) == [3] and vocabulary.ids.cache_info().currsize == 0 and len(POWERS.up) == 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", min_size=1, max_size=12), min_size=1, max_size=6))
 def test_merging_against_one_pair_at_a_time(words):

@@ -6,6 +6,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
 
@@ -139,10 +140,21 @@ def _trim():
         return lambda _: 0
 
 
-def released(batches):
-    """The batches, memory of those that are done going back to the system after each."""
+#: Tables that a worker keeps from task to task, by their user: what lets go of them.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(user: str, let_go: Callable[[], None]) -> None:
+    _KEPT[user] = let_go
+
+
+def released(batches, user: str = ""):
+    """The batches, memory of those that are done going back to the system after each; first this worker lets go of what it keeps for others than ``user``."""
     import pyarrow as pa
 
+    for other, let_go in _KEPT.items():
+        if other != user:
+            let_go()
     for batch in batches:
         yield batch
         del batch

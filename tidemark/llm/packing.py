@@ -166,7 +166,7 @@ def token_pieces(docs: DataFrame, size: int = 2048, tokenizer: str = "word_bpe_4
 
     def run(batches):
         ids = vocabulary.ids(tokenizer_path(tokenizer))
-        for batch in released(batches):
+        for batch in released(batches, "vocabulary"):
             keys, rows = batch.column(0), ([], [], [], [], [], [])
             for k, x in enumerate(ids.encoded(t.as_py() or "" for t in batch.column(1))):
                 x += end

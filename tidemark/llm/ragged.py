@@ -10,6 +10,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import keeps
+
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
@@ -34,17 +36,23 @@ class Powers:
     """Powers of the base and of its inverse, as many as were asked for."""
 
     def __init__(self):
+        self.let_go()
+
+    def let_go(self):
         self.up = self.down = np.ones(1, U)
 
     def of(self, n: int):
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = -(-n // STEP) * STEP
             self.up = np.multiply.accumulate(np.r_[U(1), np.full(n - 1, BASE, U)])
             self.down = np.multiply.accumulate(np.r_[U(1), np.full(n - 1, INVERSE, U)])
         return self.up, self.down
 
 
+#: Powers are worked out so many at a time.
+STEP = 1 << 18
 POWERS = Powers()
+keeps("ragged", POWERS.let_go)
 
 
 class Buffer:

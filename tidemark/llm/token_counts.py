@@ -20,7 +20,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
 
     def run(batches):
         counter = vocabulary.counter(tokenizer_path(tokenizer))
-        for batch in released(batches):
+        for batch in released(batches, "vocabulary"):
             texts = batch.column(1)
             sizes = pa.compute.binary_length(texts)
             counts = list(counter.counts(x.as_py() or "" for x in texts))

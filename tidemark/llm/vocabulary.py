@@ -17,6 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import keeps
+
 NONE = np.iinfo(np.int64).max
 #: Chunks and pre-tokens kept per worker; when that many are kept, others are worked out anew each time.
 KEPT_CHUNKS, KEPT_WORDS = 250_000, 200_000
@@ -292,3 +294,11 @@ def counter(path: str) -> TokenCounter:
 @lru_cache(maxsize=4)
 def ids(path: str) -> TokenIds:
     return TokenIds(path)
+
+
+def _let_go():
+    counter.cache_clear()
+    ids.cache_clear()
+
+
+keeps("vocabulary", _let_go)
