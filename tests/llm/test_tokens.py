@@ -56,7 +56,7 @@ def test_tables_of_chunks_stay_bounded(monkeypatch, library):
 def test_workers_let_go_of_what_others_keep():
     from tidemark.llm.ragged import POWERS
 
-    vocabulary.ids(WORD)
+    assert not hasattr(vocabulary.ids(WORD), "spec")  # 27 MB
     POWERS.of(1000)
     assert list(released(iter([1, 2]), "vocabulary")) == [1, 2] and vocabulary.ids.cache_info().currsize == 1 and len(POWERS.up) == 1
     up, down = POWERS.of(300_000)

@@ -271,6 +271,10 @@ class TokenIds(_Chunks):
 
     nothing = b""
 
+    def __init__(self, path: str):
+        super().__init__(path)
+        del self.spec  # its merges are in the library
+
     def of_words(self, words):
         tokenize, letters = self.library.model.tokenize, self.letters
         names = (x if x.isascii() and x.isprintable() else "".join(map(letters.__getitem__, x.encode("utf-8"))) for x in words)
